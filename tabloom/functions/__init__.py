@@ -1 +1,68 @@
+"""Column expressions and grouped statistics that several operators use."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def clean(c: str, df: DataFrame) -> Column:
+    """A numeric column as double, NaN as null."""
+    d = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(d), d)
+
+
+def safe_div(a: Column, b: Column) -> Column:
+    """IEEE division: by zero it gives NaN or an infinity of the numerator's sign."""
+    zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, zero).otherwise(a / b)
+
+
+def stats(df: DataFrame, **exprs: Column) -> dict:
+    """All statistics of a stage in one pass."""
+    return df.agg(*[e.alias(k) for k, e in exprs.items()]).first().asDict()
+
+
+def nearest_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list]:
+    """Quantiles that are values of the column: the one at index floor(q (n - 1) + 1/2) in sorted order.
+
+    Columns are counted by value and ranked by running counts over value ranges, so that no task sorts a whole column.
+    """
+    out: dict[str, list] = {}
+    for c in columns:
+        counts = df.select(clean(c, df).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        cuts = sorted({float(x) for x in counts.approxQuantile("v", [i / 32 for i in range(1, 32)], 0.01)}) if len(columns) else []
+        bucket = reduce(lambda acc, x: acc + (F.col("v") > x).cast("int"), cuts, F.lit(0))
+        dealt = counts.withColumn("bucket", bucket)
+        sizes = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.sum("n")).collect())  # at most 32 rows
+        total, before, wanted = sum(n for _, n in sizes), 0, []
+        if not total:
+            out[c] = [None] * len(qs)
+            continue
+        index = [int(q * (total - 1) + 0.5) for q in qs]
+        for b, n in sizes:
+            wanted += [(b, before, i) for i in index if before <= i < before + n]
+            before += n
+        ranked = dealt.where(F.col("bucket").isin(sorted({b for b, _, _ in wanted}))).withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy("v")))
+        found = {}
+        for b, start, i in dict.fromkeys(wanted):
+            at = i - start
+            found[i] = F.min(F.when((F.col("bucket") == b) & (F.col("upto") > at), F.col("v"))).alias(f"i{i}")
+        row = ranked.agg(*found.values()).first().asDict()
+        out[c] = [row[f"i{i}"] for i in index]
+    return out
+
+
+def upper_break(x: Column, breaks: list[float]) -> Column:
+    """The least break that is not below x, or infinity."""
+    above = F.filter(F.array(*map(F.lit, map(float, breaks))), lambda b: x <= b) if breaks else F.array().cast("array<double>")
+    return F.when(x.isNotNull(), F.coalesce(F.get(above, 0), F.lit(float("inf"))))
+
+
+def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
+    """df with the average rank of column c, by way of value counts."""
+    counts = df.groupBy(F.col(f"`{c}`").alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
+    ranked = counts.withColumn("upto_", F.sum("n_").over(Window.orderBy("v_"))).select("v_", (F.col("upto_") - (F.col("n_") - 1) / 2).alias(name))
+    return df.join(ranked, F.col(f"`{c}`").eqNullSafe(F.col("v_"))).drop("v_")

@@ -1 +1,56 @@
+"""Reading and writing tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom import errors
+
+
+def _session(spark: SparkSession | None) -> SparkSession:
+    return spark or SparkSession.active()
+
+
+def parse(source, spark: SparkSession | None = None) -> DataFrame:
+    """A frame from a frame, a column dict, a pandas frame, an array, or a path ending in csv, parquet or json."""
+    import numpy as np
+    import pandas as pd
+
+    if isinstance(source, DataFrame):
+        return source
+    spark = _session(spark)
+    if isinstance(source, dict):
+        return spark.createDataFrame(pd.DataFrame(source))
+    if isinstance(source, pd.DataFrame):
+        return spark.createDataFrame(source.assign(**{c: source[c].astype(str) for c in source if isinstance(source[c].dtype, pd.CategoricalDtype)}))
+    if isinstance(source, np.ndarray):
+        flat = source.reshape(len(source), -1)
+        return spark.createDataFrame(pd.DataFrame(flat, columns=[f"column_{i}" for i in range(flat.shape[1])]))
+    if isinstance(source, str):
+        readers = {"csv": lambda p: spark.read.csv(p, header=True, inferSchema=True), "parquet": spark.read.parquet, "json": lambda p: spark.read.json(p, multiLine=True)}
+        if (read := readers.get(source.rstrip("/").rpartition(".")[2].lower())) is not None:
+            return read(source)
+    raise errors.UnsupportedFormatError(f"cannot read {type(source).__name__} {source if isinstance(source, str) else ''}")
+
+
+def images(path: str, extension: str = "png", spark: SparkSession | None = None) -> DataFrame:
+    """One row per image of a folder, by path: its bytes flattened by Spark's image reader and padded with zeros."""
+    data = _session(spark).read.format("image").option("pathGlobFilter", f"*.{extension}").load(path).select(F.col("image.origin").alias("path"), F.transform(F.split(F.hex("image.data"), "(?<=\\G..)"), lambda h: F.conv(h, 16, 10).cast("int")).alias("pixels"))
+    widest = data.agg(F.max(F.size("pixels"))).first()[0] or 0
+    return data.select("path", *[F.coalesce(F.get("pixels", i), F.lit(0)).alias(f"column_{i}") for i in range(widest)])
+
+
+def save(df: DataFrame, path: str, format: str = "parquet") -> None:
+    if format not in ("csv", "parquet", "json"):
+        raise errors.UnsupportedFormatError(format)
+    writer = df.write.mode("overwrite")
+    writer.csv(path, header=True) if format == "csv" else getattr(writer, format)(path)
+
+
+def to_dict(df: DataFrame) -> dict:
+    return df.toPandas().to_dict("list")
+
+
+def to_numpy(df: DataFrame):
+    return df.toPandas().to_numpy()
