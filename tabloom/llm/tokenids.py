@@ -12,19 +12,18 @@ their sort (nulls first); a table without rows gives no shard. Other columns are
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import ragged, shared_dir
+from tabloom.llm._base import byte_texts, ragged, shared_dir
 
-_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int, sequence binary, rules binary, lengths binary, doc_ids binary, doc_null binary, doc_tokens binary"
 
 
@@ -45,15 +44,20 @@ class TokenParams:
 
 class Encoder:
     """Ids of whole texts, word by word. The tokenizer splits at white space before anything else reaches across it,
-    so the ids of a text are those of its words in turn; each distinct word is encoded once."""
+    so the ids of a text are those of its words in turn; each distinct word is encoded once. Lower-casing A-Z first
+    makes fewer distinct words and no other ids, as the tokenizer lower-cases itself."""
 
     _own: dict = {}
 
     def __init__(self, path: str, cache_words: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_words, self.known = Tokenizer.from_file(path), cache_words, {"": b""}
+        self.tokenizer, self.cache_words, self.known = Tokenizer.from_file(path), cache_words, {b"": b""}
         self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, others for the characters from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
     @classmethod
     def of(cls, params: TokenParams) -> Encoder:
@@ -66,26 +70,44 @@ class Encoder:
             cls._own[path] = cls(path, params.cache_words)
         return cls._own[path]
 
-    def _learn(self, words: list[str]) -> None:
-        known, model = self.known, self.model
+    def _letters(self, word: bytes, text: str) -> bytes:
+        """Ids of a word of letters that the normaliser leaves as it is: one piece for the model."""
+        found = self.known.get(word)
+        if found is None:
+            shown = text if text.isascii() else word.decode("latin-1").translate(self.alphabet)
+            found = self.known[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
         other = []
-        for w in words:
-            if w.isascii() and w.isalpha():  # one piece, which the normaliser leaves as it is
-                known[w] = np.array([t.id for t in model.tokenize(w)], np.uint32).tobytes()
+        for word in words:
+            text = word.decode()
+            stem = text[:-1] if text[-1] in ".," else text  # a lone stop behind letters is a piece of its own
+            if not stem.isascii() and "Σ" not in stem and "İ" not in stem:
+                stem = stem.lower()  # of single characters, as the tokenizer does it
+            if stem.isalpha() and (stem.isascii() or stem == stem.lower()) and unicodedata.is_normalized("NFC", stem):
+                ids = self._letters(stem.encode(), stem)
+                if len(stem) == len(text):
+                    self.known[word] = ids
+                else:
+                    self.known[word] = ids + self.known[word[-1:]] if word[-1:] in self.known else ids + self._one(text[-1])
             else:
-                other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        # lower case of A-Z and a blank before a lone . or , make fewer distinct words and no other ids
-        words = _STOP.sub(r" \1", text.translate(_ASCII_LOWER)).replace("\n", " ").split(" ")
+                other.append((word, text))
+        for (word, _), e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False) if other else []):
+            self.known[word] = array("I", e.ids).tobytes()
+
+    def _one(self, text: str) -> bytes:
+        ids = self.known[text.encode()] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of a UTF-8 text."""
+        words = text.lower().replace(b"\n", b" ").split(b" ")
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             if len(self.known) > self.cache_words:
-                self.known = {"": b""}
+                self.known = {b"": b""}
             self._learn([w for w in dict.fromkeys(words) if w not in self.known])
             return b"".join(map(self.known.__getitem__, words))
 
@@ -221,8 +243,8 @@ def write(docs: DataFrame, path: str, params: TokenParams = TokenParams()) -> No
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = encoder.encode(text or "") + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                tokens = encoder.encode(text) + end
                 if own and size + len(tokens) > 4 * params.shard_tokens:
                     yield flush()
                 ids.append(doc_id)

@@ -151,8 +151,8 @@ def test_token_ids_edges(edge, empty, tokenizer):
     assert tokenids.query(empty).count() == 0
     odd = "CAFÉ Ünïcode  don't... a.b, c,d. 3.14 x. y\tz w İstanbul ΣΑΣ 'll"
     encoder = tokenids.Encoder.of(tokenids.TokenParams())
-    for text in (odd, odd.lower(), "  ", "…", "a\n\n.b .", "x" * 3000):
-        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in (odd, odd.lower(), "  ", "…", "a\n\n.b .", "x" * 3000, "café. naïve, straße. ÉCOLE e\u0301t\u00e9 ŉ ǆ ﬁn.", ". , .. ,, a.. b,,"):
+        assert np.frombuffer(encoder.encode(text.encode()), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_repair_and_random_access():
