@@ -12,6 +12,7 @@ their sort (nulls first); a table without rows gives no shard. Other columns are
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import uuid
 import zlib
@@ -52,12 +53,12 @@ class Encoder:
     def __init__(self, path: str, cache_words: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.cache_words, self.known = Tokenizer.from_file(path), cache_words, {b"": b""}
-        self.model = self.tokenizer.model
-        # the byte-level alphabet: printable bytes stand for themselves, others for the characters from 256 on
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, params: TokenParams) -> Encoder:
@@ -70,31 +71,42 @@ class Encoder:
             cls._own[path] = cls(path, params.cache_words)
         return cls._own[path]
 
-    def _letters(self, word: bytes, text: str) -> bytes:
-        """Ids of a word of letters that the normaliser leaves as it is: one piece for the model."""
-        found = self.known.get(word)
-        if found is None:
-            shown = text if text.isascii() else word.decode("latin-1").translate(self.alphabet)
-            found = self.known[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return found
+    def _letters(self, stems: list[str]) -> None:
+        """Encode words of letters that the normaliser leaves as they are: each is one piece, whose last token alone
+        is one that ends a word, so that one call serves many of them."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+        raw, known = ids.tobytes(), self.known
+        if len(ends) != len(stems):
+            for stem in stems:
+                self._one(stem)
+            return
+        begin = 0
+        for stem, end in zip(stems, ends):
+            known[stem.encode()] = raw[begin:end]
+            begin = end
 
     def _learn(self, words: list[bytes]) -> None:
-        other = []
+        known, other, stems, stopped = self.known, [], {}, []
         for word in words:
             text = word.decode()
             stem = text[:-1] if text[-1] in ".," else text  # a lone stop behind letters is a piece of its own
             if not stem.isascii() and "Σ" not in stem and "İ" not in stem:
                 stem = stem.lower()  # of single characters, as the tokenizer does it
-            if stem.isalpha() and (stem.isascii() or stem == stem.lower()) and unicodedata.is_normalized("NFC", stem):
-                ids = self._letters(stem.encode(), stem)
-                if len(stem) == len(text):
-                    self.known[word] = ids
-                else:
-                    self.known[word] = ids + self.known[word[-1:]] if word[-1:] in self.known else ids + self._one(text[-1])
+            if stem.isalpha() and (stem.isascii() or stem == stem.lower() and unicodedata.is_normalized("NFC", stem)):
+                key = stem.encode()
+                if key not in known:
+                    stems[stem] = None
+                if key != word:
+                    stopped.append((word, key, text[-1] if len(stem) < len(text) else ""))
             else:
                 other.append((word, text))
+        if stems:
+            self._letters(list(stems))
+        for word, key, stop in stopped:
+            known[word] = known[key] + ((known.get(stop.encode()) or self._one(stop)) if stop else b"")
         for (word, _), e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False) if other else []):
-            self.known[word] = array("I", e.ids).tobytes()
+            known[word] = array("I", e.ids).tobytes()
 
     def _one(self, text: str) -> bytes:
         ids = self.known[text.encode()] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -135,16 +147,22 @@ def compress(ids: np.ndarray, first_rule: int, params: TokenParams) -> tuple[np.
         holder = np.full(1 << bits, -1, np.int32)
         holder[slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = holder[_slot(key, bits)]
-        rank[(rank < 0) | (pairs[rank] != key)] = len(pairs)
-        index = np.arange(len(rank))
-        equal = np.concatenate([[False], rank[1:] == rank[:-1]])
-        run = index - np.maximum.accumulate(np.where(equal, 0, index))
-        before, after = np.concatenate([[len(pairs) + 1], rank[:-1]]), np.append(rank[1:], len(pairs) + 1)
-        chosen = (rank < len(pairs)) & (run % 2 == 0) & (equal | (rank < before)) & (rank <= after)
-        at = np.flatnonzero(chosen)
-        used, new = np.unique(rank[at], return_inverse=True)
-        a[at] = top + new
-        a = np.delete(a, at + 1)
+        place = np.flatnonzero((rank >= 0) & (pairs[rank] == key))
+        rank = rank[place]
+        beside = np.diff(place) == 1
+        equal = np.concatenate([[False], beside & (rank[1:] == rank[:-1])])
+        run = np.arange(len(rank)) - np.maximum.accumulate(np.where(equal, 0, np.arange(len(rank))))
+        over = np.concatenate([beside & (rank[1:] < rank[:-1]), [False]])  # the next pair goes first
+        under = np.concatenate([[False], beside & (rank[:-1] < rank[1:])])  # the one before does
+        chosen = (run % 2 == 0) & ~over & ~under
+        at, drawn = place[chosen], rank[chosen]
+        use = np.zeros(len(pairs), bool)
+        use[drawn] = True
+        used = np.flatnonzero(use)
+        a[at] = top + np.cumsum(use)[drawn] - 1
+        keep = np.ones(len(a), bool)
+        keep[at + 1] = False
+        a = a[keep]
         body = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)
         lengths = np.concatenate([lengths, _measure(body, lengths, first_rule).sum(1)])
         rules.append(body)
