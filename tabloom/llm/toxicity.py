@@ -11,6 +11,7 @@ toxic if any says so; with no labelled rows, or only one class, the score is the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,49 +141,52 @@ class ToxicCRF:
         return out
 
 
-def fit(rows: list[tuple[int, bytes]], params: ToxicityParams) -> ToxicCRF | float:
+def fit(rows: Iterable[tuple[int, bytes]], params: ToxicityParams) -> ToxicCRF | float:
     """rows: (label, text). A constant where there is nothing to tell classes apart."""
+    index: dict[bytes, int] = {}
     seen, kept = set(), []
     for label, text in rows:
         words = tokens(text)
         if (key := (_sketch(words), label)) not in seen or not words:
             seen.add(key)
-            kept.append((label, words))
+            kept.append((label, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))))
     y = np.array([label for label, _ in kept])
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    docs = [{}, {}]
-    for label, words in kept:
-        for word in set(words):
-            docs[label][word] = docs[label].get(word, 0) + 1
-    n1, n0 = y.sum(), (1 - y).sum()
-    odds = {}
-    for word, k1 in docs[1].items():
-        k0 = docs[0].get(word, 0)
-        if k1 >= params.min_docs:
-            spread = np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
-            odds[word] = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1)) - spread
-    seeds = {word for word, v in odds.items() if v > params.seed_log_odds}
-    if seeds:  # a seed must be as frequent as those that matter: passages of single copies are not
-        most = max(docs[1][w] for w in seeds)
-        seeds = {w for w in seeds if docs[1][w] >= 0.25 * most}
-    total = {w: docs[1].get(w, 0) + docs[0].get(w, 0) for w in {*docs[0], *docs[1]}}
-    frequent = sorted((w for w in total if total[w] >= params.min_docs and w not in seeds), key=lambda w: (-total[w], w))
-    words = {w: i + 1 for i, w in enumerate([*sorted(seeds), *frequent][: params.vocabulary])}
+    docs = np.zeros((2, len(index)), np.int64)
+    for label, doc in kept:
+        docs[label, np.unique(doc)] += 1
+    clean, toxic = docs + 0.5
+    odds = np.log(toxic / (y.sum() + 1)) - np.log(clean / ((1 - y).sum() + 1)) - np.sqrt(1 / toxic + 1 / clean)
+    seed = (docs[1] >= params.min_docs) & (odds > params.seed_log_odds)
+    # a seed must be as frequent as those that matter: passages of single copies are not
+    seed &= docs[1] >= 0.25 * docs[1][seed].max(initial=0)
+    names, total = list(index), docs.sum(0)
+    seeds = sorted(np.flatnonzero(seed).tolist(), key=names.__getitem__)
+    frequent = sorted(np.flatnonzero((total >= params.min_docs) & ~seed).tolist(), key=lambda i: (-total[i], names[i]))
+    vocabulary = [*seeds, *frequent][: params.vocabulary]
+    item = np.zeros(len(index), np.int64)
+    item[vocabulary] = np.arange(1, len(vocabulary) + 1)
+    words = {names[i]: k for k, i in enumerate(vocabulary, 1)}
+    del names, index
     rng = np.random.default_rng(11)
     xs, ts = [], []
     for label, doc in kept:
-        hits = [i for i, w in enumerate(doc) if w in seeds] if label else []
-        for c in [*hits[:8], *(rng.integers(0, len(doc), 1).tolist() if doc else [])]:
+        hits = np.flatnonzero(seed[doc]).tolist() if label else []
+        for c in [*hits[:8], *(rng.integers(0, len(doc), 1).tolist() if len(doc) else [])]:
             at = max(0, c - params.window // 2)
             own = doc[at : at + params.window]
             if len(own) == params.window:
-                xs.append([words.get(w, 0) for w in own])
-                ts.append([int(label and w in seeds) for w in own])
+                xs.append(item[own])
+                ts.append(seed[own].astype(np.int64) * label)
     emission, a, start = _train(np.array(xs).reshape(-1, params.window), np.array(ts).reshape(-1, params.window), len(words) + 1, params.steps)
     crf = ToxicCRF(words, emission, a, start, np.zeros(3), params)
-    tagged = crf.tag([b" ".join(doc) for _, doc in kept])
-    x = np.array([[1.0, m.max(initial=0.0), np.log1p(m.sum())] for m, _ in tagged])
+    x = np.ones((len(kept), 3))
+    for i, (_, doc) in enumerate(kept):
+        first = np.zeros(len(doc), bool)
+        first[:1] = True
+        m = crf.marginals(item[doc], first)
+        x[i, 1:] = m.max(initial=0.0), np.log1p(m.sum())
     head = np.zeros(3)
     for _ in range(30):  # Newton steps of a lightly penalised logistic fit
         p = 1 / (1 + np.exp(-x @ head))
@@ -239,7 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     few = training_sample(given.withColumn("text", F.lit("")), params.sample_rows, 1).select("doc_id", "toxic")
     rows = texts.join(F.broadcast(few), "doc_id").where(F.octet_length("text") <= params.sample_text_bytes).orderBy("doc_id", F.xxhash64("text")).select("toxic", "text").collect()
-    model = spark.sparkContext.broadcast(fit([(int(r[0] > 0), r[1].encode()) for r in rows], params))
+    model = spark.sparkContext.broadcast(fit(((int(r[0] > 0), r[1].encode()) for r in rows), params))
     place = docs.columns.index("text")
 
     def run(batches):
