@@ -67,6 +67,9 @@ class LogBilinear:
         self.p = np.maximum(p, 1e-9)
         self.pc = self.p.reshape(-1, k).sum(0)
         self.within = self.p / self.pc[np.arange(n) % k]
+        # log of the expected number of times that noise draws each class, each item
+        self.noise_class = np.log(params.noise[0] * self.pc).astype(np.float32)
+        self.noise_item = np.log(params.noise[1] * self.within).astype(np.float32)
         self.w = {
             "r": rng.normal(0, 0.1, (n, d)).astype(np.float32), "c": np.ones((params.context, d), np.float32),
             "q": rng.normal(0, 0.1, (n, d)).astype(np.float32), "b": np.log(self.within).astype(np.float32)[:, None],
@@ -91,13 +94,16 @@ class LogBilinear:
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return sum(self.w["r"][x[j]] * self.w["c"][j] for j in range(len(x)))
 
-    def _move(self, name: str, index: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(index, kind="stable")
+    def _move(self, index: np.ndarray, **grads: np.ndarray) -> None:
+        """Adagrad steps of the named parameters, with their gradients of the rows in index, summed for each row."""
+        order = np.argsort(index.astype(np.min_scalar_type(self.params.classes**2)), kind="stable")  # two bytes: a radix sort
         index = index[order]
         first = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
-        rows, g = index[first], np.add.reduceat(grad[order], first, axis=0)
-        self.seen[name][rows] += (g * g).mean(1, keepdims=True)
-        self.w[name][rows] -= self.params.rate * g / np.sqrt(self.seen[name][rows])
+        rows = index[first]
+        for name, grad in grads.items():
+            g = np.add.reduceat(grad[order], first, axis=0)
+            self.seen[name][rows] += (g * g).mean(1, keepdims=True)
+            self.w[name][rows] -= self.params.rate * g / np.sqrt(self.seen[name][rows])
 
     def train(self, ids: np.ndarray) -> None:
         """One pass over texts laid end to end."""
@@ -109,24 +115,24 @@ class LogBilinear:
         w, k, (nc, ni), n = self.w, self.params.classes, self.params.noise, len(y)
         h, cls = self.hidden(x), y % k
         drawn = np.searchsorted(np.cumsum(self.pc), self.rng.random(nc) * self.pc.sum()).clip(0, k - 1)
-        own = _sigmoid((h * w["qc"][cls]).sum(1) + w["bc"][cls, 0] - np.log(nc * self.pc[cls])) - 1
-        other = _sigmoid(h @ w["qc"][drawn].T + w["bc"][drawn, 0] - np.log(nc * self.pc[drawn]))
+        own = _sigmoid((h * w["qc"][cls]).sum(1) + w["bc"][cls, 0] - self.noise_class[cls]) - 1
+        other = _sigmoid(h @ w["qc"][drawn].T + w["bc"][drawn, 0] - self.noise_class[drawn])
         per = len(self.p) // k
         begin = cls * per
         low = np.where(begin > 0, self.running[begin - 1], 0)
         noise = self.by_class[np.clip(np.searchsorted(self.running, low + self.rng.random((ni, n)) * (self.running[begin + per - 1] - low)), begin, begin + per - 1)]
         items = np.concatenate([y[None], noise])
         qi = w["q"][items]
-        g = _sigmoid((qi * h).sum(2) + w["b"][items, 0] - np.log(ni * self.within[items]))
+        g = _sigmoid((qi * h).sum(2) + w["b"][items, 0] - self.noise_item[items])
         g[0] -= 1
         dh = own[:, None] * w["qc"][cls] + other @ w["qc"][drawn] + (g[:, :, None] * qi).sum(0)
-        self._move("q", items.ravel(), (g[:, :, None] * h).reshape(-1, h.shape[1]))
-        self._move("b", items.ravel(), g.reshape(-1, 1))
-        self._move("qc", np.concatenate([cls, drawn]), np.concatenate([own[:, None] * h, other.T @ h]))
-        self._move("bc", np.concatenate([cls, drawn]), np.concatenate([own, other.sum(0)])[:, None])
         rows = [w["r"][x[j]] for j in range(len(x))]
-        self._move("r", x.ravel(), np.concatenate([dh * w["c"][j] for j in range(len(x))]))
-        self._move("c", np.arange(len(x)), np.stack([(dh * r).sum(0) / n for r in rows]))
+        place = np.stack([(dh * r).sum(0) / n for r in rows])
+        before = np.concatenate([dh * w["c"][j] for j in range(len(x))])
+        self._move(items.ravel(), q=(g[:, :, None] * h).reshape(-1, h.shape[1]), b=g.reshape(-1, 1))
+        self._move(np.concatenate([cls, drawn]), qc=np.concatenate([own[:, None] * h, other.T @ h]), bc=np.concatenate([own, other.sum(0)])[:, None])
+        self._move(x.ravel(), r=before)
+        self._move(np.arange(len(x)), c=place)
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """log10 probability of each item given those before it."""
