@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -76,9 +78,7 @@ class LogBilinear:
             "qc": rng.normal(0, 0.1, (k, d)).astype(np.float32), "bc": np.log(self.pc).astype(np.float32)[:, None],
         }
         self.seen = {name: np.full((len(v), 1), 1e-2, np.float32) for name, v in self.w.items()}
-        # items of a class in a row, with running probabilities, to draw noise within a class
-        self.by_class = np.arange(n).reshape(-1, k).T.ravel()
-        self.running = np.cumsum(self.within[self.by_class])
+        self.keep, self.other = _alias(self.within.reshape(-1, k))
         self.rng = rng
 
     def contexts(self, ids: np.ndarray) -> np.ndarray:
@@ -94,14 +94,15 @@ class LogBilinear:
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return sum(self.w["r"][x[j]] * self.w["c"][j] for j in range(len(x)))
 
-    def _move(self, index: np.ndarray, **grads: np.ndarray) -> None:
-        """Adagrad steps of the named parameters, with their gradients of the rows in index, summed for each row."""
+    def _move(self, index: np.ndarray, **grads: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Adagrad steps of the named parameters: each gives the gradients at some places of index, which are summed
+        for each row that index names."""
         order = np.argsort(index.astype(np.min_scalar_type(self.params.classes**2)), kind="stable")  # two bytes: a radix sort
         index = index[order]
         first = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
         rows = index[first]
         for name, grad in grads.items():
-            g = np.add.reduceat(grad[order], first, axis=0)
+            g = np.add.reduceat(grad(order), first, axis=0)
             self.seen[name][rows] += (g * g).mean(1, keepdims=True)
             self.w[name][rows] -= self.params.rate * g / np.sqrt(self.seen[name][rows])
 
@@ -115,24 +116,24 @@ class LogBilinear:
         w, k, (nc, ni), n = self.w, self.params.classes, self.params.noise, len(y)
         h, cls = self.hidden(x), y % k
         drawn = np.searchsorted(np.cumsum(self.pc), self.rng.random(nc) * self.pc.sum()).clip(0, k - 1)
-        own = _sigmoid((h * w["qc"][cls]).sum(1) + w["bc"][cls, 0] - self.noise_class[cls]) - 1
+        own = _sigmoid(np.einsum("nd,nd->n", h, w["qc"][cls]) + w["bc"][cls, 0] - self.noise_class[cls]) - 1
         other = _sigmoid(h @ w["qc"][drawn].T + w["bc"][drawn, 0] - self.noise_class[drawn])
-        per = len(self.p) // k
-        begin = cls * per
-        low = np.where(begin > 0, self.running[begin - 1], 0)
-        noise = self.by_class[np.clip(np.searchsorted(self.running, low + self.rng.random((ni, n)) * (self.running[begin + per - 1] - low)), begin, begin + per - 1)]
+        noise = self.rng.integers(0, len(self.p) // k, (ni, n)) * k + cls
+        noise = np.where(self.rng.random((ni, n), np.float32) < self.keep[noise], noise, self.other[noise])
         items = np.concatenate([y[None], noise])
         qi = w["q"][items]
-        g = _sigmoid((qi * h).sum(2) + w["b"][items, 0] - self.noise_item[items])
+        g = _sigmoid(np.einsum("snd,nd->sn", qi, h) + w["b"][items, 0] - self.noise_item[items])
         g[0] -= 1
-        dh = own[:, None] * w["qc"][cls] + other @ w["qc"][drawn] + (g[:, :, None] * qi).sum(0)
+        dh = own[:, None] * w["qc"][cls] + other @ w["qc"][drawn] + np.einsum("sn,snd->nd", g, qi)
         rows = [w["r"][x[j]] for j in range(len(x))]
         place = np.stack([(dh * r).sum(0) / n for r in rows])
-        before = np.concatenate([dh * w["c"][j] for j in range(len(x))])
-        self._move(items.ravel(), q=(g[:, :, None] * h).reshape(-1, h.shape[1]), b=g.reshape(-1, 1))
-        self._move(np.concatenate([cls, drawn]), qc=np.concatenate([own[:, None] * h, other.T @ h]), bc=np.concatenate([own, other.sum(0)])[:, None])
-        self._move(x.ravel(), r=before)
-        self._move(np.arange(len(x)), c=place)
+        scale = w["c"].copy()
+        pull, class_pull = np.concatenate([own[:, None] * h, other.T @ h]), np.concatenate([own, other.sum(0)])[:, None]
+        weight = g.reshape(-1, 1)
+        self._move(items.ravel(), q=lambda o: weight[o] * h[o % n], b=lambda o: weight[o])
+        self._move(np.concatenate([cls, drawn]), qc=lambda o: pull[o], bc=lambda o: class_pull[o])
+        self._move(x.ravel(), r=lambda o: dh[o % n] * scale[o // n])
+        self._move(np.arange(len(x)), c=lambda o: place[o])
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """log10 probability of each item given those before it."""
@@ -143,14 +144,14 @@ class LogBilinear:
         for at in range(0, len(ids), 1 << 16):
             y = ids[at : at + (1 << 16)]
             h, cls = self.hidden(contexts[:, at : at + (1 << 16)]), y % k
-            z = h @ w["qc"].T + w["bc"][:, 0]
-            lp = z[np.arange(len(y)), cls] - _logsum(z)
+            lp = np.empty(len(y), np.float32)
+            for i in range(0, len(y), 1 << 12):
+                lp[i : i + (1 << 12)] = _log_softmax(h[i : i + (1 << 12)], w["qc"], w["bc"][:, 0], cls[i : i + (1 << 12)])
             order = np.argsort(cls, kind="stable")
             ends = np.cumsum(np.bincount(cls, minlength=k))
             for c in np.flatnonzero(np.diff(ends, prepend=0)):
                 rows = order[ends[c - 1] if c else 0 : ends[c]]
-                z = h[rows] @ w["q"][c::k].T + w["b"][c::k, 0]
-                lp[rows] += z[np.arange(len(rows)), y[rows] // k] - _logsum(z)
+                lp[rows] += _log_softmax(h[rows], w["q"][c::k], w["b"][c::k, 0], y[rows] // k)
             out[at : at + len(y)] = lp / np.log(10)
         assert per * k == len(self.p)
         return out
@@ -169,9 +170,34 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logsum(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+def _log_softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of entry `at` of each row."""
+    z = h @ q.T
+    z += b
+    top = z.max()
+    if not top - z.min() < 80:  # one shift for all rows would underflow
+        top = z.max(1, keepdims=True)
+    z -= top
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
+def _alias(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Alias tables (Walker) to draw rows of each column of p in constant time: (share kept, index drawn instead),
+    both by row * columns + column."""
+    n, k = p.shape
+    keep, other = np.ones((n, k), np.float32), np.arange(n * k).reshape(n, k)
+    for c in range(k):
+        rest = p[:, c] / p[:, c].sum() * n
+        small, large = np.flatnonzero(rest < 1).tolist(), np.flatnonzero(rest >= 1).tolist()
+        while small and large:
+            i, j = small.pop(), large[-1]
+            keep[i, c], other[i, c] = rest[i], j * k + c
+            rest[j] -= 1 - rest[i]
+            if rest[j] < 1:
+                small.append(large.pop())
+    return keep.ravel(), other.ravel()
 
 
 class Lexicon:
@@ -189,11 +215,11 @@ class Lexicon:
         """(number or -1 of each word, item of each token) of texts laid end to end; an end follows each text."""
         get = self.number.get
         lengths = np.array([len(p) for p in parts], np.int64)
-        number = np.fromiter((get(w, -1) for p in parts for w in p), np.int64, int(lengths.sum()))
+        number = np.fromiter(map(get, chain.from_iterable(parts), repeat(-1)), np.int64, int(lengths.sum()))
         items = self.items[number] if len(self.items) else np.zeros(len(number), np.int64)
         rare = np.flatnonzero(number < 0)
         if len(rare):
-            flat = [w for p in parts for w in p]
+            flat = list(chain.from_iterable(parts))
             items[rare] = [_bucket(flat[i], self.params) for i in rare.tolist()]
         ends = np.cumsum(lengths)
         return number, np.insert(items, ends, 0)
