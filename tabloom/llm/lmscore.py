@@ -18,9 +18,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,8 +47,32 @@ class LMParams:
     flush_words: int = 600_000
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def split(column):
+    """(words of each text, words of all texts laid end to end) of an Arrow string column; null is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column.fill_null(""))))
+    words = lists.flatten().cast(pa.binary())
+    some = pc.not_equal(pc.binary_length(words), 0)  # a text without words is split into one empty string
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pc.all(some, min_count=0).as_py():
+        return lengths, words
+    counts = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(lengths)
+    return counts[ends] - counts[ends - lengths], words.filter(some)
+
+
+def chunks(column, size: int = 1 << 21) -> Iterator:
+    """Slices of an Arrow string column of about size bytes; a longer text is whole in one."""
+    import pyarrow.compute as pc
+
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + size, "right")))
+        yield column.slice(at, to - at)
+        at = to
 
 
 def _bucket(word: bytes, params: LMParams) -> int:
@@ -204,25 +227,30 @@ class Lexicon:
     """Frequent words with their counts and items."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], params: LMParams):
+        import pyarrow as pa
+
         self.params = params
-        self.number = {w: i for i, (w, _) in enumerate(frequent)}
-        self.count = np.array([0, *(n for _, n in frequent)], np.float64)[1:]
+        self.words = pa.array([w for w, _ in frequent], pa.binary())
+        self.count = np.array([n for _, n in frequent], np.float64)
         named = params.classes**2 - params.buckets - 1
         self.items = np.array([i + 1 if i < named else _bucket(w, params) for i, (w, _) in enumerate(frequent)], np.int64)
         self.named = min(named, len(frequent))
 
-    def texts(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(number or -1 of each word, item of each token) of texts laid end to end; an end follows each text."""
-        get = self.number.get
-        lengths = np.array([len(p) for p in parts], np.int64)
-        number = np.fromiter(map(get, chain.from_iterable(parts), repeat(-1)), np.int64, int(lengths.sum()))
+    def find(self, words) -> np.ndarray:
+        """Number of each word of an Arrow binary array, -1 if it is not frequent."""
+        import pyarrow.compute as pc
+
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def read(self, column) -> tuple[np.ndarray, object, np.ndarray, np.ndarray]:
+        """(words of each text, all words, their numbers, items of all tokens) of texts laid end to end; an end
+        follows each text."""
+        lengths, words = split(column)
+        number = self.find(words)
         items = self.items[number] if len(self.items) else np.zeros(len(number), np.int64)
         rare = np.flatnonzero(number < 0)
-        if len(rare):
-            flat = list(chain.from_iterable(parts))
-            items[rare] = [_bucket(flat[i], self.params) for i in rare.tolist()]
-        ends = np.cumsum(lengths)
-        return number, np.insert(items, ends, 0)
+        items[rare] = [_bucket(w, self.params) for w in words.take(rare).to_pylist()]
+        return lengths, words, number, np.insert(items, np.cumsum(lengths), 0)
 
 
 def count_words(training: DataFrame, params: LMParams) -> DataFrame:
@@ -240,10 +268,10 @@ def count_words(training: DataFrame, params: LMParams) -> DataFrame:
 
         for batch in batches:
             for text in byte_texts(batch.column(0)):
-                counts.update(tokens(text))
-            if len(counts) > params.flush_words:
-                yield emit()
-                counts.clear()
+                counts.update(text.lower().split())  # the same words as those of split()
+                if len(counts) > params.flush_words:
+                    yield emit()
+                    counts.clear()
         if counts:
             yield emit()
 
@@ -260,11 +288,11 @@ def _bucket_sums(counts: DataFrame, lexicon, params: LMParams) -> tuple[np.ndarr
         total, distinct = np.zeros(params.buckets, np.int64), np.zeros(params.buckets, np.int64)
         known = lexicon.value
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if known.number.get(word, known.named) >= known.named:
-                    k = _bucket(word, params) - first
-                    total[k] += n
-                    distinct[k] += 1
+            number = known.find(batch.column(0))
+            beyond = np.flatnonzero((number < 0) | (number >= known.named))
+            k = np.array([_bucket(w, params) for w in batch.column(0).take(beyond).to_pylist()], np.int64) - first
+            np.add.at(total, k, batch.column(1).to_numpy()[beyond])
+            np.add.at(distinct, k, 1)
         some = np.flatnonzero(distinct)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(distinct[some])], ["bucket", "n", "words"])
 
@@ -301,9 +329,11 @@ def fit(training: DataFrame, params: LMParams):
     p += 0.1
     model = LogBilinear(p / p.sum(), params)
     if docs:
-        warm = [r[0].encode() for r in training_sample(training, params.warm_docs, params.warm_bytes).where("text IS NOT NULL").orderBy("doc_id").select("text").collect()]
+        warm = [r[0] for r in training_sample(training, params.warm_docs, params.warm_bytes).where("text IS NOT NULL").orderBy("doc_id").select("text").collect()]
         if warm:
-            model.train(lexicon.texts([tokens(t) for t in warm])[1])
+            import pyarrow as pa
+
+            model.train(lexicon.read(pa.array(warm, pa.string()))[3])
         model = _refine(training, shared, model, params)
     return counts, shared, spark.sparkContext.broadcast(model), total, distinct, docs, np.log10(bucket_n + bucket_words + 1), least
 
@@ -320,13 +350,10 @@ def _refine(training: DataFrame, lexicon, model: LogBilinear, params: LMParams)
 
         import pyarrow as pa
 
-        from tabloom.llm._base import byte_texts
-
         own, seen = copy.deepcopy(start.value), 0
         for batch in batches:
-            texts = byte_texts(batch.column(0))
-            for at in range(0, len(texts), 256):
-                items = lexicon.value.texts([tokens(t) for t in texts[at : at + 256]])[1]
+            for part in chunks(batch.column(0)):
+                items = lexicon.value.read(part)[3]
                 own.train(items)
                 seen += len(items)
         if seen:
@@ -361,43 +388,34 @@ def score(docs: DataFrame, training: DataFrame, params: LMParams = LMParams()) -
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tabloom.llm._base import byte_texts
-
         lex, lm, part, row = lexicon.value, model.value, TaskContext.get().partitionId(), 0
         logs = np.log10(lex.count + 1)
         first = params.classes**2 - params.buckets
         for batch in batches:
-            texts, ids = byte_texts(batch.column(1)), batch.column(0).to_pylist()
-            at = 0
-            while at < len(texts):
-                parts, size = [], 0
-                while at + len(parts) < len(texts) and (not parts or size < 1 << 18):
-                    parts.append(tokens(texts[at + len(parts)]))
-                    size += len(parts[-1])
-                number, items = lex.texts(parts)
+            ids, at = batch.column(0).to_pylist(), 0
+            for texts in chunks(batch.column(1)):
+                lengths, words, number, items = lex.read(texts)
                 lp = lm.log10(items)
-                lengths = np.array([len(p) for p in parts])
                 ends = np.cumsum(lengths)
                 flat = np.where(number >= 0, logs[number] if len(logs) else 0.0, 0.0)
-                word_lp = flat.copy()
                 own = np.delete(items, ends + np.arange(len(ends)))
                 inner = own >= first
-                extra = np.where(inner, word_lp - shares[np.where(inner, own - first, 0)], 0.0)
-                known = (number >= 0).astype(np.int64)
+                extra = np.where(inner, flat - shares[np.where(inner, own - first, 0)], 0.0)
+                unknown = np.flatnonzero(number < 0)
+                rare, cut = words.take(unknown).to_pylist(), np.searchsorted(unknown, [0, *ends]).tolist()
                 out = {k: [] for k in ("row", "doc_id", "n_tokens", "n_known", "base", "score", "rare")}
                 begin = 0
-                for k, p in enumerate(parts):
-                    end = int(ends[k])
-                    rare = Counter(p[i] for i in np.flatnonzero(number[begin:end] < 0).tolist())
+                for k, end in enumerate(ends.tolist()):
+                    size = end - begin
                     out["row"].append((part << 36) + row)
                     out["doc_id"].append(ids[at + k])
-                    out["n_tokens"].append(len(p) + 1)
-                    out["n_known"].append(int(known[begin:end].sum()) + int(n_docs > 0))
-                    out["base"].append(float(flat[begin:end].sum() + np.log10(n_docs + 1) - (len(p) + 1) * floor))
+                    out["n_tokens"].append(size + 1)
+                    out["n_known"].append(size - (cut[k + 1] - cut[k]) + int(n_docs > 0))
+                    out["base"].append(float(flat[begin:end].sum() + np.log10(n_docs + 1) - (size + 1) * floor))
                     out["score"].append(float(lp[begin + k : end + k + 1].sum() + extra[begin:end].sum()))
-                    out["rare"].append([{"word": w, "n": c} for w, c in rare.items()])
+                    out["rare"].append([{"word": w, "n": c} for w, c in Counter(rare[cut[k] : cut[k + 1]]).items()])
                     begin, row = end, row + 1
-                at += len(parts)
+                at += len(texts)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
