@@ -11,7 +11,7 @@ toxic if any says so; with no labelled rows, or only one class, the score is the
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 @dataclass(frozen=True)
 class ToxicityParams:
     """sample_rows, sample_text_bytes: bound of the labelled sample; vocabulary: words with an emission weight;
-    window: tokens of a training window; lane: tokens of a chain piece in the batched recursions."""
+    window: tokens of a training window; block_tokens: tokens tagged at once, unless one text has more."""
 
     sample_rows: int = 6000
     sample_text_bytes: int = 200_000
@@ -36,7 +36,7 @@ class ToxicityParams:
     seed_log_odds: float = 3.0
     window: int = 24
     steps: int = 150
-    block_tokens: int = 1 << 20
+    block_tokens: int = 1 << 18
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -103,9 +103,9 @@ class ToxicCRF:
             out[t] = r
         return out
 
-    def tag(self, texts: list[bytes]) -> list[tuple[np.ndarray, list[bytes]]]:
-        """Marginals of the tokens of each whole text."""
-        out, at = [], 0
+    def tag(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """Marginals of the tokens of each whole text; no more than a block of texts is held as tokens."""
+        at = 0
         while at < len(texts):
             parts, total = [], 0
             while at < len(texts) and (not parts or total < self.params.block_tokens):
@@ -118,17 +118,15 @@ class ToxicCRF:
             first = np.zeros(total, bool)
             first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
             cut = np.split(self.marginals(ids, first), np.cumsum(lengths)[:-1])
-            out += zip(cut, parts)
-        return out
+            yield from zip(cut, parts)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        tagged = self.tag(texts)
-        x = np.array([[1.0, m.max(initial=0.0), np.log1p(m.sum())] for m, _ in tagged]).reshape(-1, 3)
+        x = np.array([[1.0, m.max(initial=0.0), np.log1p(m.sum())] for m, _ in self.tag(texts)]).reshape(-1, 3)
         return 1 / (1 + np.exp(-np.clip(x @ self.head, -30, 30)))
 
     def spans(self, text: bytes) -> list[tuple[int, int]]:
         """Byte ranges of the runs of tokens that are toxic rather than not."""
-        (m, parts), out, at = self.tag([text])[0], [], 0
+        (m, parts), out, at = next(self.tag([text])), [], 0
         folded = text.translate(_FOLD)
         for p, word in zip(m, parts):
             begin = folded.index(word, at)
