@@ -32,7 +32,8 @@ FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int,
 class TokenParams:
     """tokenizer: path of the vocabulary file (None: the installed public_tokenizers' word_bpe_49k.json);
     shard_tokens: tokens of a shard (one document at least); pairs, rounds, least: pairs that a Re-Pair round
-    replaces at most, rounds at most, and occurrences that a pair needs."""
+    replaces at most, rounds at most, and occurrences that a pair needs; cache_words: words whose ids a worker holds,
+    of which the first third, where the frequent ones come up, outlives the others."""
 
     tokenizer: str | None = None
     end_id: int = 1
@@ -40,7 +41,7 @@ class TokenParams:
     pairs: int = 8192
     rounds: int = 10
     least: int = 8
-    cache_words: int = 1_500_000
+    cache_words: int = 600_000
 
 
 class Encoder:
@@ -55,6 +56,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.cache_words, self.known = Tokenizer.from_file(path), cache_words, {b"": b""}
+        self.first: dict[bytes, bytes] = {}
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -118,8 +120,10 @@ class Encoder:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
+            if not self.first and len(self.known) > self.cache_words // 3:
+                self.first = dict(self.known)
             if len(self.known) > self.cache_words:
-                self.known = {b"": b""}
+                self.known = dict(self.first)
             self._learn([w for w in dict.fromkeys(words) if w not in self.known])
             return b"".join(map(self.known.__getitem__, words))
 
