@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: [\x20\x09-\x0D].
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,40 @@ def plain(docs: DataFrame, *named: str) -> DataFrame:
     return docs.toDF(*[c if c in named else f"extra{i}_" for i, c in enumerate(docs.columns)])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES at most (or one row), unless the session says otherwise itself.
+
+    Both sides of a Python stage hold each batch several times, the JVM outside its heap and for good.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded batches; a worker gives its free memory back after each task."""
+    bounded_batches(df.sparkSession)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return what the allocators hold without use: workers outlive their tasks and share a machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def byte_texts(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import plain
+from tabloom.llm._base import map_arrow, plain
 
 #: Lower-cases A-Z, blanks what is not [0-9a-z] or beyond ASCII.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -247,7 +247,7 @@ def find(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams =
                 columns = [*batch.columns[:-3], pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import shared_table
+from tabloom.llm._base import map_arrow, shared_table
 from tabloom.llm._graph import components
 
 #: Generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
@@ -211,11 +211,11 @@ def _print(batches):
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed 64-bit fingerprint) and component_id of each row of docs (doc_id, text)."""
-    prints = shared_table(docs.select("doc_id", "text").mapInArrow(_print, "doc_id long, fp long"), "fingerprints")
+    prints = shared_table(map_arrow(docs.select("doc_id", "text"), _print, "doc_id long, fp long"), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     # Key bits are compared on both sides by value; keys are dealt and sorted by Spark, which spills.
-    dealt = first.select("fp").mapInArrow(_expand, "key long, fp long, own boolean").repartition("key").sortWithinPartitions("key")
-    roots = components(dealt.mapInArrow(_match, "u long, v long")).select(F.col("node").alias("fp"), "root")
+    dealt = map_arrow(first.select("fp"), _expand, "key long, fp long, own boolean").repartition("key").sortWithinPartitions("key")
+    roots = components(map_arrow(dealt, _match, "u long, v long")).select(F.col("node").alias("fp"), "root")
     named = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import byte_texts, ragged, shared_dir
+from tabloom.llm._base import byte_texts, map_arrow, ragged, shared_dir
 
 FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int, sequence binary, rules binary, lengths binary, doc_ids binary, doc_null binary, doc_tokens binary"
 
@@ -275,7 +275,7 @@ def write(docs: DataFrame, path: str, params: TokenParams = TokenParams()) -> No
         if own:
             yield flush()
 
-    dealt.mapInArrow(run, FORMAT).write.parquet(path)
+    map_arrow(dealt, run, FORMAT).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -301,7 +301,7 @@ def read(spark, path: str) -> DataFrame:
                 start = given.value[row["part"]] + row["local_start"]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_null), pa.array(begin + start), pa.array(shard.doc_tokens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(docs: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import fold, plain, training_sample
+from tabloom.llm._base import fold, map_arrow, plain, training_sample
 
 #: Lower-cases A-Z and blanks other ASCII than letters, digits and apostrophes.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 39 else 32 for c in range(256))
@@ -261,7 +261,7 @@ def score(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "toxicity double", *(["toxic_spans array<struct<start:bigint,end:bigint>>"] if spans else [])])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
