@@ -73,24 +73,33 @@ class Encoder:
             cls._own[path] = cls(path, params.cache_words)
         return cls._own[path]
 
-    def _letters(self, stems: list[str]) -> None:
+    def _letters(self, stems: list[bytes]) -> None:
         """Encode words of letters that the normaliser leaves as they are: each is one piece, whose last token alone
         is one that ends a word, so that one call serves many of them."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, np.uint32)
         ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
         raw, known = ids.tobytes(), self.known
         if len(ends) != len(stems):
             for stem in stems:
-                self._one(stem)
+                self._one(stem.decode())
             return
         begin = 0
         for stem, end in zip(stems, ends):
-            known[stem.encode()] = raw[begin:end]
+            known[stem] = raw[begin:end]
             begin = end
 
     def _learn(self, words: list[bytes]) -> None:
         known, other, stems, stopped = self.known, [], {}, []
         for word in words:
+            if word.isalpha():  # ASCII letters
+                stems[word] = None
+                continue
+            if word[:-1].isalpha() and word[-1] in b".,":
+                key = word[:-1]
+                if key not in known:
+                    stems[key] = None
+                stopped.append((word, key, chr(word[-1])))
+                continue
             text = word.decode()
             stem = text[:-1] if text[-1] in ".," else text  # a lone stop behind letters is a piece of its own
             if not stem.isascii() and "Σ" not in stem and "İ" not in stem:
@@ -98,7 +107,7 @@ class Encoder:
             if stem.isalpha() and (stem.isascii() or stem == stem.lower() and unicodedata.is_normalized("NFC", stem)):
                 key = stem.encode()
                 if key not in known:
-                    stems[stem] = None
+                    stems[key] = None
                 if key != word:
                     stopped.append((word, key, text[-1] if len(stem) < len(text) else ""))
             else:
