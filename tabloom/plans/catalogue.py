@@ -149,9 +149,9 @@ _stage("select_rfe_cls", "SelectRFEDecisionTreeCls", _CLS, target="l_returnflag"
 _stage("drop_invariant_columns", "DropInvariantColumns", ("lineitem", "l_orderkey, l_linenumber, 1 AS one"), "SELECT l_orderkey, l_linenumber FROM lineitem")
 _stage("select_variation_threshold", "SelectVariationThreshold", ("lineitem", "l_orderkey, l_quantity, 1000 + l_tax AS flat"), "SELECT l_orderkey, l_quantity FROM lineitem")
 # reduction and neighbours
-_DIMS = ", ".join(f"cast(embedding[{i}] as double) AS e{i}" for i in range(8))
+_DIMS = ", ".join(f"cast(embedding[{i}] as double) AS e{i}" for i in range(64))
 _EMB = ("embeddings", f"vec_id, {_DIMS}, cast(label as string) AS label")
-_E = [f"e{i}" for i in range(8)]
+_E = [f"e{i}" for i in range(64)]
 for _n, _t in (("pca", "DimReducePCA"), ("svd", "DimReduceTruncatedSVD"), ("lda", "DimReduceLDA")):
     _stage(f"dim_{_n}", _t, _EMB, target="label", columns=_E)
 _GAP = ("embeddings", f"vec_id, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE cast(embedding[0] as double) END AS e0, {_DIMS.split(', ', 1)[1]}")
@@ -161,7 +161,7 @@ _stage("fill_none_knn_or_mean", "FillNoneKNNOrMean", _GAP, columns=_E)
 
 def _balance(name: str, stage: str, projection: str, sql: str | None = None, **params) -> None:
     def make(spark, sf_dir):
-        df = _table(spark, sf_dir, "embeddings").selectExpr(*_split(projection)).where("label <> '0' OR vec_id % 4 = 0").where("label IN ('0', '1')")
+        df = _table(spark, sf_dir, "embeddings").selectExpr(*_split(projection))
         return operator(stage)(**params).fit_transform(Dataset(df, target="label")).df
 
     _add(name, make, sql)
