@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tabloom.core import Domain, Feature, Role, Stage
 from tabloom.functions import clean, stats
-from tabloom.functions.knn import LIMIT, nearest, references
-from tabloom.functions.sampling import _ranked
+from tabloom.functions.knn import LIMIT, Blocks, nearest, nearest_everywhere, references, vector
+from tabloom.functions.sampling import _ranked, draw
 from tabloom.operators.basic import FillNoneMean, _Each, q
 
 
@@ -22,12 +22,12 @@ class FillNoneKNN(_Each):
     domains = {"n_neighbors": Domain(5, 1, 100)}
 
     def _fit(self, df, columns):
-        self.refs, _ = references(df, columns)
+        self.refs, _, _ = references(df, columns)
         got = stats(df, **{str(i): F.avg(clean(c, df)) for i, c in enumerate(columns)})
         self.means = [got[str(i)] for i in range(len(columns))]
 
     def _transform(self, df):
-        refs, columns, k, means = self.refs, self.columns, int(self.params["n_neighbors"]), self.means
+        refs, columns, k, means = Blocks(df.sparkSession.sparkContext, self.refs), self.columns, int(self.params["n_neighbors"]), self.means
 
         @F.pandas_udf("array<double>")
         def fill(rows):
@@ -36,15 +36,14 @@ class FillNoneKNN(_Each):
             x = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, len(columns))
             for j in range(len(columns)):
                 gaps = np.flatnonzero(np.isnan(x[:, j]))
-                donors = refs[~np.isnan(refs[:, j])]
-                if len(gaps) and len(donors):
-                    d, index = nearest(x[gaps], donors, k)
+                if len(gaps) and len(refs):
+                    d, index = nearest(x[gaps], refs, k, having=j)
                     near = np.isfinite(d)
-                    sums = np.where(near, donors[index, j], 0).sum(1)
+                    sums = np.where(near, refs.take(index)[..., j], 0).sum(1)
                     x[gaps, j] = np.where(near.any(1), sums / np.maximum(near.sum(1), 1), np.nan if means[j] is None else means[j])
             return pd.Series(list(x))
 
-        filled = df.withColumn("filled_", fill(F.array(*[clean(c, df) for c in columns])))
+        filled = df.withColumn("filled_", fill(vector(columns)))
         return filled.withColumns({c: F.when(clean(c, df).isNull(), F.when(~F.isnan(F.col("filled_")[j]), F.col("filled_")[j])).otherwise(q(c).cast("double")) for j, c in enumerate(columns)}).drop("filled_")
 
 
@@ -117,34 +116,35 @@ class _Synthetic(_Resample):
         n, columns = self.counts(df), self.numbers(df)
         if not n or not columns:
             return df
-        most = max(n.values())
-        out = df
-        everything = references(df.where(q(self.target).isNotNull()), columns, [self.target]) if self.by_difficulty else None
+        import pandas as pd
+
+        most, sc, k_ = max(n.values()), df.sparkSession.sparkContext, int(self.params["n_neighbors"]) - 1  # without the row itself
+        points, carried, keys = references(df.where(q(self.target).isNotNull()), columns, [self.target])
+        labels = np.array([r[0] for r in carried], dtype=object)
+        frames = []
         for c, k in sorted(n.items(), key=lambda x: str(x[0])):
-            if k == most:
-                continue
-            x, _ = references(df.where(q(self.target) == F.lit(c)), columns)
-            if len(x) < 2:
+            x, own = points[labels == c], keys[labels == c]
+            if k == most or len(x) < 2:
                 continue
             rng = np.random.default_rng(42)
-            _, near = nearest(x, x, int(self.params["n_neighbors"]))
-            near = near[:, 1:]  # the row itself holds the first place
+            near = nearest_everywhere(sc, x, own, x, own, k_)
             if self.by_difficulty:
-                _, around = nearest(x, everything[0], int(self.params["n_neighbors"]))
-                other = np.array([v[0] != c for v in everything[1]])[around[:, 1:]].mean(1)
+                other = (labels[nearest_everywhere(sc, x, own, points, keys, k_)] != c).mean(1)
                 if other.sum() == 0:
                     continue
-                base = np.repeat(np.arange(len(x)), np.round(other / other.sum() * (most - k)).astype(int))
+                times = np.round(other / other.sum() * (most - k)).astype(int)
+                if not times.any():  # every share rounds to nothing: one point each for the largest
+                    times[np.argsort(-other, kind="stable")[: most - k]] = 1
+                base = np.repeat(np.arange(len(x)), times)
             else:
                 base = rng.integers(0, len(x), most - k)
             mate = near[base, rng.integers(0, near.shape[1], len(base))]
             made = x[base] + rng.random((len(base), 1)) * (x[mate] - x[base])
-            import pandas as pd
-
-            frame = pd.DataFrame(made, columns=columns).assign(**{self.target: c})
-            new = df.sparkSession.createDataFrame(frame).select(*[q(a) if a in columns else q(a).cast(df.schema[a].dataType) for a in df.columns if a in columns or a == self.target])
-            out = out.unionByName(new, allowMissingColumns=True)
-        return out
+            frames.append(pd.DataFrame(made, columns=columns).assign(**{self.target: c}))
+        if not frames:
+            return df
+        new = df.sparkSession.createDataFrame(pd.concat(frames, ignore_index=True)).select(*[q(a) if a in columns else q(a).cast(df.schema[a].dataType) for a in df.columns if a in columns or a == self.target])
+        return df.unionByName(new, allowMissingColumns=True)
 
 
 class OversampleSMOTE(_Synthetic):
@@ -171,11 +171,11 @@ class OversampleSMOTEOrRandom(_Resample):
 
 
 class _Neighbours(_Resample):
-    """Keeps rows by what their neighbours are; batches of rows meet a bounded reference set."""
+    """Keeps rows by what their neighbours are; batches of rows meet all rows, block by block."""
 
     domains = {"n_neighbors": Domain(5, 2, 100)}
 
-    def keep(self, x, y, refs, labels, smallest, k):
+    def keep(self, x, y, own, refs, keys, labels, smallest, k):
         raise NotImplementedError
 
     def _transform(self, df):
@@ -183,18 +183,19 @@ class _Neighbours(_Resample):
         if not n or not columns:
             return df
         smallest = min(n, key=lambda c: (n[c], str(c)))
-        refs, carried = references(df.where(q(self.target).isNotNull()), columns, [self.target])
-        labels = np.array([r[0] for r in carried], dtype=object)
+        x, carried, keys = references(df.where(q(self.target).isNotNull()), columns, [self.target])
+        sc = df.sparkSession.sparkContext
+        refs, known = Blocks(sc, x), sc.broadcast((keys, np.array([r[0] for r in carried], dtype=object)))
         k, decide = int(self.params.get("n_neighbors", 2)), self.keep
 
         @F.pandas_udf("boolean")
-        def kept(rows, y):
+        def kept(rows, y, own):
             import pandas as pd
 
             x = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, len(columns))
-            return pd.Series(decide(x, y.to_numpy(dtype=object), refs, labels, smallest, k))
+            return pd.Series(decide(x, y.to_numpy(dtype=object), own.to_numpy(), refs, *known.value, smallest, k))
 
-        return df.where(kept(F.array(*[clean(c, df) for c in columns]), q(self.target)))
+        return df.where(kept(vector(columns), q(self.target), draw([*columns, self.target], 42)))
 
 
 class UndersampleENN(_Neighbours):
@@ -202,9 +203,9 @@ class UndersampleENN(_Neighbours):
 
     category = "undersampling"
 
-    def keep(self, x, y, refs, labels, smallest, k):
-        _, index = nearest(x, refs, k)
-        return (labels[index[:, 1:]] == y[:, None]).all(1) | (y == smallest)
+    def keep(self, x, y, own, refs, keys, labels, smallest, k):
+        _, index = nearest(x, refs, k - 1, own, keys)
+        return (labels[index] == y[:, None]).all(1) | (y == smallest)
 
 
 class UndersampleTomekLinks(_Neighbours):
@@ -213,11 +214,13 @@ class UndersampleTomekLinks(_Neighbours):
     category = "undersampling"
     domains = {}
 
-    def keep(self, x, y, refs, labels, smallest, k):
-        _, index = nearest(x, refs, 2)
-        mate = index[:, -1]
-        _, back = nearest(refs[mate], refs, 2)
-        mutual = back[:, -1] == index[:, 0]
+    def keep(self, x, y, own, refs, keys, labels, smallest, k):
+        if len(refs) < 2:
+            return np.ones(len(x), bool)
+        _, index = nearest(x, refs, 1, own, keys)
+        mate = index[:, 0]
+        _, back = nearest(refs.take(mate), refs, 1, keys[mate], keys)
+        mutual = keys[back[:, 0]] == own
         return ~(mutual & (labels[mate] != y) & (y != smallest))
 
 
@@ -233,7 +236,8 @@ class UndersampleNearMiss(_Resample):
         if not n or not columns:
             return df
         smallest = min(n, key=lambda c: (n[c], str(c)))
-        refs, _ = references(df.where(q(self.target) == F.lit(smallest)), columns)
+        x, _, _ = references(df.where(q(self.target) == F.lit(smallest)), columns)
+        refs = Blocks(df.sparkSession.sparkContext, x)
         k = int(self.params["n_neighbors"])
 
         @F.pandas_udf("double")
@@ -243,7 +247,7 @@ class UndersampleNearMiss(_Resample):
             x = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, len(columns))
             return pd.Series(nearest(x, refs, k)[0].mean(1))
 
-        measured = df.withColumn("mean_", mean_distance(F.array(*[clean(c, df) for c in columns])))
+        measured = df.withColumn("mean_", mean_distance(vector(columns)))
         out = df.where(q(self.target) == F.lit(smallest))
         for c in sorted((c for c in n if c != smallest), key=str):
             out = out.unionByName(measured.where(q(self.target) == F.lit(c)).orderBy("mean_", *[q(a) for a in df.columns]).limit(n[smallest]).drop("mean_"))
