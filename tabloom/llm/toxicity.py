@@ -1,7 +1,8 @@
 """Toxicity: a two-state linear-chain CRF tags toxic spans; forward-backward marginals make document scores.
 
 Labels are given for documents only. Token labels come from them: words whose presence speaks clearly for the
-toxic label (one-sided bound of the log odds) are the labelled tokens of toxic documents; the CRF learns
+toxic label (one-sided bound of the log odds), each counted once per different passage around it, so that copied
+passages do not speak many times, are the labelled tokens of toxic documents; the CRF learns
 emission and transition weights from windows around them and from windows of clean text. A logistic layer over
 the marginals (highest marginal, expected number of toxic tokens) maps them to the label's probability.
 
@@ -154,12 +155,12 @@ def fit(rows: Iterable[tuple[int, bytes]], params: ToxicityParams) -> ToxicCRF |
     docs = np.zeros((2, len(index)), np.int64)
     for label, doc in kept:
         docs[label, np.unique(doc)] += 1
+    found = docs.sum(0)
+    docs[1] = np.minimum(docs[1], _passages([doc for label, doc in kept if label], len(index)))
     clean, toxic = docs + 0.5
     odds = np.log(toxic / (y.sum() + 1)) - np.log(clean / ((1 - y).sum() + 1)) - np.sqrt(1 / toxic + 1 / clean)
     seed = (docs[1] >= params.min_docs) & (odds > params.seed_log_odds)
-    # a seed must be as frequent as those that matter: passages of single copies are not
-    seed &= docs[1] >= 0.25 * docs[1][seed].max(initial=0)
-    names, total = list(index), docs.sum(0)
+    names, total = list(index), found
     seeds = sorted(np.flatnonzero(seed).tolist(), key=names.__getitem__)
     frequent = sorted(np.flatnonzero((total >= params.min_docs) & ~seed).tolist(), key=lambda i: (-total[i], names[i]))
     vocabulary = [*seeds, *frequent][: params.vocabulary]
@@ -194,6 +195,27 @@ def fit(rows: Iterable[tuple[int, bytes]], params: ToxicityParams) -> ToxicCRF |
     return crf
 
 
+def _passages(texts: list[np.ndarray], size: int, width: int = 3) -> np.ndarray:
+    """In how many different passages each word is: the lesser number of its different left and right sides of `width`
+    words. A passage copied into many texts counts once for each of its words; ends of different texts are different."""
+    mixed, words = ([], []), []
+    for k, doc in enumerate(texts):
+        ends = -(2 * width * k + np.arange(1, 2 * width + 1))
+        laid = np.concatenate([ends[:width], doc, ends[width:]]).astype(np.int64).view(np.uint64)
+        for side, shifts in zip(mixed, (range(width), range(width + 1, 2 * width + 1))):
+            key = doc.astype(np.uint64)
+            for at in shifts:
+                key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + laid[at : at + len(doc)]
+            side.append(key)
+        words.append(doc)
+    if not words:
+        return np.zeros(size, np.int64)
+    words, counts = np.concatenate(words), []
+    for side in mixed:
+        counts.append(np.bincount(words[np.unique(np.concatenate(side), return_index=True)[1]], minlength=size))
+    return np.minimum(*counts)
+
+
 def _train(x: np.ndarray, t: np.ndarray, size: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Adagrad on the mean log likelihood of tagged windows; gradients are observed minus expected counts."""
     e, tr, st = np.full(size, -3.0), np.zeros((2, 2)), -3.0

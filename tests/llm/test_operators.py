@@ -327,6 +327,25 @@ def test_toxicity_held_out(spark, docs):
     assert all(r["toxic_spans"] for r in out if r["predicted"])
 
 
+def test_toxicity_rare_words_and_copied_passages():
+    """A toxic word in far fewer texts than the most frequent one is learned; the words of a copied passage are not."""
+    rng = np.random.default_rng(4)
+
+    def text(*more):
+        words = [f"w{i}" for i in rng.integers(0, 300, 60)]
+        for m in more:
+            at = int(rng.integers(15, 45))
+            words[at:at] = m.split()
+        return " ".join(words).encode()
+
+    rows = [(0, text()) for _ in range(600)] + [(1, text("vile")) for _ in range(150)] + [(1, text("rarevile")) for _ in range(20)]
+    rows += [(1, text("vile", "copied passage that ran along unchanged into many texts")) for _ in range(30)]
+    crf = toxicity.fit(rows, toxicity.ToxicityParams())
+    scores = crf.scores([text("rarevile") for _ in range(20)])
+    assert (scores > 0.5).all() and (crf.scores([text() for _ in range(20)]) < 0.5).all()
+    assert (crf.scores([text("copied passage that ran along unchanged into many texts") for _ in range(20)]) < 0.5).all()
+
+
 def test_crf_marginals():
     a, start, params = np.array([[1.0, 0.2], [0.5, 2.0]]), 0.3, toxicity.ToxicityParams()
     emission = np.array([-1.0, 2.0, 0.5])
