@@ -44,15 +44,36 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)), F.lit(0))
 
 
-def training_sample(df: DataFrame, rows: int, max_bytes: int, seed: int = 7) -> DataFrame:
-    """A hash-drawn sample of about `rows` rows of df (all of them where df is smaller), leaving texts over max_bytes out.
+def training_sample(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """A hash-drawn sample of about `rows` rows of df (all of them where df is smaller).
 
-    Used only to fit classifiers; the draw depends on doc_id alone, so reruns agree.
+    Used only to fit classifiers and to warm a model up; the draw depends on doc_id alone, so reruns agree.
     """
     total = df.select("doc_id").count()
-    if total > rows:
-        df = df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-    return df.where(F.octet_length("text") <= max_bytes)
+    return df.where(_draw(seed) < int((1 << 30) * rows / total)) if total > rows else df
+
+
+def _draw(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+
+
+def bounded_texts(df: DataFrame, text_bytes: int, total_bytes: int, seed: int = 7) -> DataFrame:
+    """df, a sample of bounded rows, so that its texts have about total_bytes at most: rows are left out by the same
+    draw until they do. A text over text_bytes is represented by four passages of it at hash-drawn places."""
+    size = F.octet_length("text")
+    sizes = sorted(tuple(r) for r in df.select(_draw(seed), F.least(F.coalesce(size, F.lit(0)), F.lit(text_bytes))).collect())
+    held, limit = 0, None
+    for draw, n in sizes:
+        held += n
+        if held > total_bytes:
+            limit = draw
+            break
+    if limit is not None:
+        df = df.where(_draw(seed) < limit)
+    chars = max(1, text_bytes // 16)  # four passages of characters of at most four bytes
+    room = F.greatest(F.length("text") - chars, F.lit(1))
+    passages = [F.substring("text", F.pmod(F.xxhash64(F.lit(seed + i), "doc_id"), room).cast("int") + 1, F.lit(chars)) for i in range(4)]
+    return df.withColumn("text", F.when(size <= text_bytes, F.col("text")).otherwise(F.concat_ws("\n", *passages)))
 
 
 def plain(docs: DataFrame, *named: str) -> DataFrame:

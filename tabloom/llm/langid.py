@@ -1,8 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Edge cases: a null text or one without a letter gets `und` with score 0, as does every text where nothing
-could be learned (no labelled rows). Repeated rows are scored alike; ties between languages go to the first
-in code-point order. Columns of the input other than doc_id and text are not looked at when predicting.
+Edge cases: a null or empty text or one without a letter (digits and number signs such as one half are none) gets
+`und` with score 0, as does every text where nothing could be learned (no labelled rows). Very long texts are scored
+whole, in overlapping pieces. Repeated rows are scored alike; ties between languages go to the first in code-point
+order; a table without rows gives none. Columns of the input other than doc_id and text, whatever their names, are
+not looked at when predicting and are not returned.
 """
 
 from __future__ import annotations
@@ -14,21 +16,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import blocks, fold, training_sample
+from tabloom.llm._base import blocks, bounded_texts, fold, training_sample
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and number signs that are no digits
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """bits: log2 of the hashed feature space; sample_rows, sample_text_bytes: bound of the training sample;
-    max_cells: bound on languages x buckets of the broadcast matrix (float32)."""
+    """bits: log2 of the hashed feature space; sample_rows, sample_bytes: bound of the training sample, in rows and in
+    bytes of their texts; sample_text_bytes: a longer text is represented by passages of it; max_cells: bound on
+    languages x buckets of the broadcast matrix (float32)."""
 
     bits: int = 15
     orders: int = 3
     alpha: float = 0.3
     sample_rows: int = 6000
+    sample_bytes: int = 48_000_000
     sample_text_bytes: int = 200_000
     max_cells: int = 1 << 26
     block_chars: int = 1 << 20
@@ -53,6 +57,10 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum([len(t) for t in texts])
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
+
+
 class NaiveBayes:
     def __init__(self, languages: list[str], weights: np.ndarray, prior: np.ndarray, params: LangIdParams):
         self.languages, self.weights, self.prior, self.params = languages, weights, prior, params
@@ -116,14 +124,15 @@ class NaiveBayes:
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
         best = z.argmax(1)
-        letter = [bool(_LETTER.search(t)) for t in given]
+        letter = [has_letter(t) for t in given]
         return [self.languages[k] if ok else "und" for k, ok in zip(best, letter)], np.where(letter, z.max(1), 0.0)
 
 
 def identify(docs: DataFrame, training: DataFrame, params: LangIdParams = LangIdParams()) -> DataFrame:
     """docs' doc_id and text with lang_pred and score, learned from training's lang and text."""
     spark = docs.sparkSession
-    rows = training_sample(training.select("doc_id", "lang", "text").where("lang IS NOT NULL"), params.sample_rows, params.sample_text_bytes).select("lang", "text").collect()
+    drawn = training_sample(training.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL"), params.sample_rows)
+    rows = bounded_texts(drawn, params.sample_text_bytes, params.sample_bytes).select("lang", "text").collect()
     model = spark.sparkContext.broadcast(NaiveBayes.fit([(r[0], r[1]) for r in rows], params))
 
     def score(batches):

@@ -10,8 +10,10 @@ itself with shared noise classes and noise items of the class (NCE, Adagrad), an
 Counts cover all training documents and go through a shuffle of words; the most frequent words (at most `lookup`) are
 broadcast, the tokens beyond them are joined with the counts.
 
-Edge cases: null and empty texts are one end token; without training documents every count is 0 and the model is
-uniform over its items. Repeated rows are scored each.
+Edge cases: null and empty texts are one end token; very long texts are scored whole; without training documents every
+count is 0 and the model is uniform over its items; words of equal frequency rank in byte order, so the vocabulary does
+not depend on the order of rows. Repeated rows are scored each; a table without rows gives none; columns other than
+doc_id and text, whatever their names, are not looked at and are not returned.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import fold, shared_table, training_sample
+from tabloom.llm._base import bounded_texts, fold, shared_table, training_sample
 
 
 @dataclass(frozen=True)
 class LMParams:
     """classes: classes, and items of a class; buckets: items for words beyond the vocabulary; lookup: most words
     that are broadcast; dim, context: size and number of the context vectors; noise: noise samples of a token
-    (classes, items); warm_docs, warm_bytes: bound of the warm-up sample."""
+    (classes, items); warm_docs, warm_bytes: bound of the warm-up sample, in rows and in bytes of their texts;
+    warm_text_bytes: a longer text is represented in it by passages."""
 
     classes: int = 64
     buckets: int = 256
@@ -43,7 +46,8 @@ class LMParams:
     rate: float = 0.08
     batch: int = 4096
     warm_docs: int = 1000
-    warm_bytes: int = 100_000
+    warm_bytes: int = 8_000_000
+    warm_text_bytes: int = 100_000
     flush_words: int = 600_000
 
 
@@ -329,7 +333,8 @@ def fit(training: DataFrame, params: LMParams):
     p += 0.1
     model = LogBilinear(p / p.sum(), params)
     if docs:
-        warm = [r[0] for r in training_sample(training, params.warm_docs, params.warm_bytes).where("text IS NOT NULL").orderBy("doc_id").select("text").collect()]
+        drawn = bounded_texts(training_sample(training, params.warm_docs).where("text IS NOT NULL"), params.warm_text_bytes, params.warm_bytes)
+        warm = [r[0] for r in drawn.orderBy("doc_id", F.xxhash64("text")).select("text").collect()]
         if warm:
             import pyarrow as pa
 

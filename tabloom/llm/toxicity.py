@@ -3,11 +3,14 @@
 Labels are given for documents only. Token labels come from them: words whose presence speaks clearly for the
 toxic label (one-sided bound of the log odds), each counted once per different passage around it, so that copied
 passages do not speak many times, are the labelled tokens of toxic documents; the CRF learns
-emission and transition weights from windows around them and from windows of clean text. A logistic layer over
+emission and transition weights from windows that cover all of them and from windows of other text; a text shorter
+than a window is one window. Near copies in the sample share the weight of one text. A logistic layer over
 the marginals (highest marginal, expected number of toxic tokens) maps them to the label's probability.
 
-Edge cases: null and empty texts have no token and get the base score; repeated labels of one document count as
-toxic if any says so; with no labelled rows, or only one class, the score is the share of toxic labels (0 if none).
+Edge cases: null and empty texts have no token and get the base score; very long texts are scored whole, in blocks of
+texts; repeated rows get equal scores; repeated labels of one document count as toxic if any says so; with no labelled
+rows, or only one class, the score is the share of toxic labels (0 if none); words of equal frequency enter the
+vocabulary in byte order; a table without rows gives none; other columns, also of the names used here, stay.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import fold, map_arrow, plain, training_sample
+from tabloom.llm._base import blocks, bounded_texts, fold, map_arrow, plain, training_sample
 
 #: Lower-cases A-Z and blanks other ASCII than letters, digits and apostrophes.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 39 else 32 for c in range(256))
@@ -27,11 +30,13 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """sample_rows, sample_text_bytes: bound of the labelled sample; vocabulary: words with an emission weight;
+    """sample_rows, sample_bytes: bound of the labelled sample, in rows and in bytes of their texts;
+    sample_text_bytes: a longer text is represented by passages of it; vocabulary: words with an emission weight;
     window: tokens of a training window; block_tokens: tokens tagged at once, unless one text has more."""
 
     sample_rows: int = 6000
-    sample_text_bytes: int = 200_000
+    sample_bytes: int = 48_000_000
+    sample_text_bytes: int = 1_000_000
     vocabulary: int = 1 << 14
     min_docs: int = 4
     seed_log_odds: float = 3.0
@@ -45,7 +50,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _sketch(words: list[bytes]) -> int:
-    """A minimum hash over word triples: near copies in the sample mostly share it and then count once."""
+    """A minimum hash over word triples: near copies in the sample mostly share it and then share one text's weight."""
     return min((hash_(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
 
 
@@ -113,13 +118,15 @@ class ToxicCRF:
                 parts.append(tokens(texts[at]))
                 total += len(parts[-1])
                 at += 1
-            lengths = np.array([len(x) for x in parts])
             get = self.words.get
-            ids = np.fromiter((get(t, 0) for x in parts for t in x), np.int64, total)
-            first = np.zeros(total, bool)
-            first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-            cut = np.split(self.marginals(ids, first), np.cumsum(lengths)[:-1])
-            yield from zip(cut, parts)
+            yield from zip(self.split_marginals([np.fromiter((get(t, 0) for t in x), np.int64, len(x)) for x in parts]), parts)
+
+    def split_marginals(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Marginals of each of some texts, given as word numbers."""
+        lengths = np.array([len(x) for x in texts])
+        first = np.zeros(int(lengths.sum()), bool)
+        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        return np.split(self.marginals(np.concatenate(texts), first), np.cumsum(lengths)[:-1])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         x = np.array([[1.0, m.max(initial=0.0), np.log1p(m.sum())] for m, _ in self.tag(texts)]).reshape(-1, 3)
@@ -143,54 +150,55 @@ class ToxicCRF:
 def fit(rows: Iterable[tuple[int, bytes]], params: ToxicityParams) -> ToxicCRF | float:
     """rows: (label, text). A constant where there is nothing to tell classes apart."""
     index: dict[bytes, int] = {}
-    seen, kept = set(), []
+    kept, groups = [], {}
     for label, text in rows:
         words = tokens(text)
-        if (key := (_sketch(words), label)) not in seen or not words:
-            seen.add(key)
-            kept.append((label, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))))
-    y = np.array([label for label, _ in kept])
+        group = groups.setdefault((_sketch(words), label) if words else len(kept), [])
+        group.append(len(kept))
+        kept.append((label, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))))
+    y, weight = np.array([label for label, _ in kept]), np.ones(len(kept))
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    docs = np.zeros((2, len(index)), np.int64)
-    for label, doc in kept:
-        docs[label, np.unique(doc)] += 1
-    found = docs.sum(0)
+    for group in groups.values():
+        weight[group] = 1 / len(group)
+    docs, found = np.zeros((2, len(index))), np.zeros(len(index), np.int64)
+    for (label, doc), w in zip(kept, weight):
+        own = np.unique(doc)
+        docs[label, own] += w
+        found[own] += 1
     docs[1] = np.minimum(docs[1], _passages([doc for label, doc in kept if label], len(index)))
     clean, toxic = docs + 0.5
-    odds = np.log(toxic / (y.sum() + 1)) - np.log(clean / ((1 - y).sum() + 1)) - np.sqrt(1 / toxic + 1 / clean)
-    seed = (docs[1] >= params.min_docs) & (odds > params.seed_log_odds)
-    names, total = list(index), found
+    odds = np.log(toxic / (weight[y == 1].sum() + 1)) - np.log(clean / (weight[y == 0].sum() + 1)) - np.sqrt(1 / toxic + 1 / clean)
+    seed = (docs[1] >= params.min_docs - 1e-6) & (odds > params.seed_log_odds)
+    names = list(index)
     seeds = sorted(np.flatnonzero(seed).tolist(), key=names.__getitem__)
-    frequent = sorted(np.flatnonzero((total >= params.min_docs) & ~seed).tolist(), key=lambda i: (-total[i], names[i]))
+    frequent = sorted(np.flatnonzero((found >= params.min_docs) & ~seed).tolist(), key=lambda i: (-found[i], names[i]))
     vocabulary = [*seeds, *frequent][: params.vocabulary]
     item = np.zeros(len(index), np.int64)
     item[vocabulary] = np.arange(1, len(vocabulary) + 1)
     words = {names[i]: k for k, i in enumerate(vocabulary, 1)}
     del names, index
-    rng = np.random.default_rng(11)
-    xs, ts = [], []
-    for label, doc in kept:
-        hits = np.flatnonzero(seed[doc]).tolist() if label else []
-        for c in [*hits[:8], *(rng.integers(0, len(doc), 1).tolist() if len(doc) else [])]:
-            at = max(0, c - params.window // 2)
-            own = doc[at : at + params.window]
-            if len(own) == params.window:
-                xs.append(item[own])
-                ts.append(seed[own].astype(np.int64) * label)
-    emission, a, start = _train(np.array(xs).reshape(-1, params.window), np.array(ts).reshape(-1, params.window), len(words) + 1, params.steps)
+    rng, windows = np.random.default_rng(11), []
+    for (label, doc), w in zip(kept, weight):
+        if not len(doc):
+            continue
+        last, until = max(0, len(doc) - params.window), -1
+        for c in [*(np.flatnonzero(seed[doc]).tolist() if label else []), int(rng.integers(0, len(doc)))]:
+            if c >= until or c < until - params.window:  # not within the window before
+                at = min(max(0, c - params.window // 2), last)
+                own, until = doc[at : at + params.window], at + params.window
+                windows.append((item[own], seed[own] * label, w))
+    emission, a, start = _train(windows, len(words) + 1, params.steps)
     crf = ToxicCRF(words, emission, a, start, np.zeros(3), params)
     x = np.ones((len(kept), 3))
-    for i, (_, doc) in enumerate(kept):
-        first = np.zeros(len(doc), bool)
-        first[:1] = True
-        m = crf.marginals(item[doc], first)
-        x[i, 1:] = m.max(initial=0.0), np.log1p(m.sum())
+    for at, to in blocks([doc for _, doc in kept], params.block_tokens):
+        for i, m in enumerate(crf.split_marginals([item[doc] for _, doc in kept[at:to]]), at):
+            x[i, 1:] = m.max(initial=0.0), np.log1p(m.sum())
     head = np.zeros(3)
     for _ in range(30):  # Newton steps of a lightly penalised logistic fit
         p = 1 / (1 + np.exp(-x @ head))
         pull = np.diag([1e-3, 0.1, 0.1])
-        head += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull + 1e-6 * np.eye(3), x.T @ (y - p) - pull @ head)
+        head += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull + 1e-6 * np.eye(3), x.T @ (weight * (y - p)) - pull @ head)
     crf.head = head
     return crf
 
@@ -216,35 +224,51 @@ def _passages(texts: list[np.ndarray], size: int, width: int = 3) -> np.ndarray:
     return np.minimum(*counts)
 
 
-def _train(x: np.ndarray, t: np.ndarray, size: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Adagrad on the mean log likelihood of tagged windows; gradients are observed minus expected counts."""
+def _train(windows: list[tuple[np.ndarray, np.ndarray, float]], size: int, steps: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray, float]:
+    """Adagrad on the mean log likelihood of tagged windows (words, tags, weight); gradients are observed minus
+    expected counts, added up over blocks of windows of one length."""
     e, tr, st = np.full(size, -3.0), np.zeros((2, 2)), -3.0
     ge, gt, gs = np.full(size, 1e-6), np.full((2, 2), 1e-6), 1e-6
-    if not len(x):
+    if not windows:
         return e, np.exp(tr), float(np.exp(st))
-    n, length = x.shape
-    seen_t = np.zeros((2, 2))
-    np.add.at(seen_t, (t[:, :-1].ravel(), t[:, 1:].ravel()), 1)
-    seen_e = np.bincount(x.ravel(), t.ravel(), size)
+    by_length: dict[int, list] = {}
+    for window in windows:
+        by_length.setdefault(len(window[0]), []).append(window)
+    parts = []  # windows of one length, place by place
+    for _, same in sorted(by_length.items()):
+        for at in range(0, len(same), block):
+            x, t, w = zip(*same[at : at + block])
+            parts.append((np.array(x).T.copy(), np.array(t, np.int64).T.copy(), np.array(w)))
+    total = sum(w.sum() for _, _, w in parts)
+    seen_t, seen_e, seen_s = np.zeros((2, 2)), np.zeros(size), 0.0
+    for x, t, w in parts:
+        wide = np.broadcast_to(w, x.shape)
+        np.add.at(seen_t, (t[:-1].ravel(), t[1:].ravel()), wide[1:].ravel())
+        seen_e += np.bincount(x.ravel(), (t * wide).ravel(), size)
+        seen_s += (t[0] * w).sum()
     for _ in range(steps):
-        a = np.exp(tr)
-        psi = np.stack([np.ones(x.shape), np.exp(e[x])], 2)
-        f, b = np.empty((n, length, 2)), np.ones((n, length, 2))
-        f[:, 0] = psi[:, 0] * [1.0, np.exp(st)]
-        f[:, 0] /= f[:, 0].sum(1, keepdims=True)
-        for k in range(1, length):
-            f[:, k] = f[:, k - 1] @ a * psi[:, k]
-            f[:, k] /= f[:, k].sum(1, keepdims=True)
-        for k in range(length - 2, -1, -1):
-            b[:, k] = (psi[:, k + 1] * b[:, k + 1]) @ a.T
-            b[:, k] /= b[:, k].sum(1, keepdims=True)
-        m = f * b
-        m /= m.sum(2, keepdims=True)
-        pair = f[:, :-1, :, None] * a * (psi * b)[:, 1:, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        de = (seen_e - np.bincount(x.ravel(), m[:, :, 1].ravel(), size)) / n - 1e-4 * e
-        dt = (seen_t - pair.sum((0, 1))) / n - 1e-4 * tr
-        ds = (t[:, 0].sum() - m[:, 0, 1].sum()) / n - 1e-4 * st
+        a, up, begin = np.exp(tr), np.exp(e), np.exp(st)
+        held_e, held_t, held_s = np.zeros(size), np.zeros((2, 2)), 0.0
+        for x, _, w in parts:
+            psi = up[x]
+            r, ahead = np.empty(psi.shape), np.empty(psi.shape)  # odds of state 1 by what lies before, with the word; behind
+            r[0], ahead[-1] = psi[0] * begin, 1.0
+            for k in range(1, len(x)):
+                r[k] = psi[k] * (a[0, 1] + a[1, 1] * r[k - 1]) / (a[0, 0] + a[1, 0] * r[k - 1])
+            g = ahead.copy()  # ahead, with the word
+            for k in range(len(x) - 1, 0, -1):
+                g[k] = psi[k] * ahead[k]
+                ahead[k - 1] = (a[1, 0] + a[1, 1] * g[k]) / (a[0, 0] + a[0, 1] * g[k])
+            odds = r * ahead
+            m = odds / (1 + odds) * w
+            pairs = [[np.full(r[1:].shape, a[0, 0]), a[0, 1] * g[1:]], [a[1, 0] * r[:-1], a[1, 1] * r[:-1] * g[1:]]]
+            share = w / (pairs[0][0] + pairs[0][1] + pairs[1][0] + pairs[1][1])
+            held_e += np.bincount(x.ravel(), m.ravel(), size)
+            held_t += [[(p * share).sum() for p in row] for row in pairs]
+            held_s += m[0].sum()
+        de = (seen_e - held_e) / total - 1e-4 * e
+        dt = (seen_t - held_t) / total - 1e-4 * tr
+        ds = (seen_s - held_s) / total - 1e-4 * st
         ge += de**2
         gt += dt**2
         gs += ds**2
@@ -261,8 +285,9 @@ def score(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     spark = docs.sparkSession
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    few = training_sample(given.withColumn("text", F.lit("")), params.sample_rows, 1).select("doc_id", "toxic")
-    rows = texts.join(F.broadcast(few), "doc_id").where(F.octet_length("text") <= params.sample_text_bytes).orderBy("doc_id", F.xxhash64("text")).select("toxic", "text").collect()
+    few = training_sample(given, params.sample_rows)
+    drawn = bounded_texts(texts.join(F.broadcast(few), "doc_id"), params.sample_text_bytes, params.sample_bytes)
+    rows = drawn.orderBy("doc_id", F.xxhash64("text")).select("toxic", "text").collect()
     model = spark.sparkContext.broadcast(fit(((int(r[0] > 0), r[1].encode()) for r in rows), params))
     place = docs.columns.index("text")
 

@@ -323,7 +323,11 @@ def test_toxicity_held_out(spark, docs):
     order = p.argsort(kind="stable").argsort()
     auc = (order[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
     flagged = np.array([r["predicted"] for r in out])
-    assert auc > 0.75 and flagged[y == 0].mean() < 0.005 and flagged[y == 1].mean() > 0.5  # a third of the toxic labels is on texts without any toxic word
+    assert auc > 0.93 and flagged[y == 0].mean() < 0.01 and flagged[y == 1].mean() > 0.9
+    lang = {r.doc_id: r.lang for r in big.select("doc_id", "lang").collect()}
+    for own in ("de", "en", "es", "fr"):
+        here = np.array([lang[r["doc_id"]] == own for r in out])
+        assert flagged[here & (y == 1)].mean() > 0.6 and flagged[here & (y == 0)].mean() < 0.03, own
     assert all(r["toxic_spans"] for r in out if r["predicted"])
 
 
