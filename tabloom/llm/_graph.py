@@ -9,12 +9,13 @@ from tabloom.llm._base import shared_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (u, v) pairs: links every neighbour of u to the least of them."""
+    """One step over (u, v) pairs: links every neighbour of u to the least of them. The least ones are written, so that
+    the join is not tied to their aggregate and the neighbours of a hub can be split over tasks."""
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = shared_table(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     both = near.join(least, "u")
     if large:
         out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

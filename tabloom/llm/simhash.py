@@ -1,15 +1,23 @@
 """SimHash near-dedup with Golay-code fuzzy keys.
 
-Fingerprints of 64 bits are cut into three segments of 22, 21 and 21 bits. Of 4 differing bits, either two
-segments have at most one each, or one segment has none. The perfect binary Golay code (23, 12, distance 7) has
-one codeword within 3 bits of any segment; the codewords within 4 bits of a segment, at most six, include the one
-next to any segment that differs in one bit. So two kinds of keys find every link: the exact value of a segment,
-and the codeword pair of two segments (one fingerprint gives its nearest pair, the other all nearby pairs).
+Fingerprints of 64 bits are cut into three segments of 22, 21 and 21 bits, and each segment into three blocks. The
+perfect binary Golay code (23, 12, distance 7) has one codeword within 3 bits of any segment; the codewords within 4
+bits of a segment, at most six, include the one next to any segment that differs in one bit: where two segments differ
+in one bit at most, one fingerprint's nearest codeword is among the other's nearby ones. By pigeonhole, 4 differing
+bits lie in the segments in one of these ways, each with its own keys:
+
+* two segments agree: both of them (42 bits or more);
+* one agrees, the others differ in 2 bits each or less: that one, and a block of each of the others (35 or more);
+* one agrees, another differs in 1 bit or less: that one and the other's codeword (33 or more);
+* two differ in 1 bit or less, the third in 2 or less: two codewords and a block of the third (31 or more).
+
 Candidates of a key are verified by their Hamming distance; of a key's links a spanning forest is kept, which has
 the same components and stays linear however many fingerprints share the key.
 
-Edge cases: a null text counts as empty; a text without words has fingerprint zero, and all such are linked;
-equal fingerprints (repeated rows included) are one node; a null doc_id never names a component unless all are null.
+Edge cases: a null text counts as empty; a text without words has fingerprint zero, and all such are linked; very
+long texts are hashed whole; equal fingerprints (repeated rows included) are one node; rows of equal doc_id but unlike
+texts are nodes of their own; a null doc_id never names a component unless all are null; a table without rows gives
+none; columns other than doc_id and text, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -17,10 +25,10 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import map_arrow, shared_table
+from tabloom.llm._base import map_arrow, plain, shared_table
 from tabloom.llm._graph import components
 
 #: Generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
@@ -86,21 +94,50 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _blocks(i: int) -> list[tuple[int, int]]:
+    """First bit and width of the blocks of segment i."""
+    at, n = SEGMENTS[i]
+    cuts = [at + (n * k + 2) // 3 for k in range(4)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row of fp, own): own marks keys under which a fingerprint is found, others only look."""
     _, _, near, number = golay()
-    u = fp.view(np.uint64)
-    parts = [((u >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
-    rows = np.arange(len(fp))
-    out = [((np.int64(i) << 40) | p, rows, np.ones(len(fp), bool)) for i, p in enumerate(parts)]
-    decoded = [decode(p) for p in parts]
-    for family, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
-        (a, sa), (b, sb) = decoded[i], decoded[j]
+    u, rows, every = fp.view(np.uint64), np.arange(len(fp)), np.ones(len(fp), bool)
+
+    def bits(at: int, n: int) -> np.ndarray:
+        return ((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    segments = [bits(*s) for s in SEGMENTS]
+    blocks = [[bits(*x) for x in _blocks(i)] for i in range(3)]
+    words = [decode(x) for x in segments]
+    out: list = []
+    family = 0
+
+    def emit(key: np.ndarray, row: np.ndarray, own: np.ndarray) -> None:
+        out.append(((np.int64(family) << 48) | key, row, own))
+
+    for i, j, k in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+        emit(segments[i] << 22 | segments[j], rows, every)
+        family += 1
+        for x in blocks[i]:
+            for y in blocks[j]:
+                emit(segments[k] << 16 | x << 8 | y, rows, every)
+                family += 1
+        (a, sa), (b, sb) = words[i], words[j]
+        for (word, syndrome), same in (((a, sa), j), ((b, sb), i)):
+            for x in range(6):
+                ok = number[syndrome] > x
+                emit(segments[same][ok] << 12 | (word ^ near[syndrome, x])[ok], rows[ok], np.full(int(ok.sum()), x == 0))
+            family += 1
         for x in range(6):
             for y in range(6):
                 ok = (number[sa] > x) & (number[sb] > y)
-                key = (np.int64(family) << 40) | ((a ^ near[sa, x])[ok] << 12) | (b ^ near[sb, y])[ok]
-                out.append((key, rows[ok], np.full(len(key), x == y == 0)))
+                pair, own = (a ^ near[sa, x])[ok] << 12 | (b ^ near[sb, y])[ok], np.full(int(ok.sum()), x == y == 0)
+                for n, block in enumerate(blocks[k]):
+                    out.append(((np.int64(family + n) << 48) | pair << 8 | block[ok], rows[ok], own))
+        family += 3
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -168,9 +205,9 @@ def _expand(batches):
 
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(fp), 2000):
-            key, row, own = keys(fp[at : at + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at : at + 2000][row]), pa.array(own)], ["key", "fp", "own"])
+        for at in range(0, len(fp), 1000):
+            key, row, own = keys(fp[at : at + 1000])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at : at + 1000][row]), pa.array(own)], ["key", "fp", "own"])
 
 
 def _match(batches):
@@ -206,19 +243,30 @@ def _print(batches):
     from tabloom.llm._base import byte_texts
 
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(byte_texts(batch.column(1))))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fingerprints(byte_texts(batch.column(batch.num_columns - 1))))], [*batch.schema.names[:-1], "fp"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64-bit fingerprint) and component_id of each row of docs (doc_id, text)."""
-    prints = shared_table(map_arrow(docs.select("doc_id", "text"), _print, "doc_id long, fp long"), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def _prints(docs: DataFrame) -> DataFrame:
+    """fp in place of text, which is the last column of docs."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1]), "fp long"])
+    return shared_table(map_arrow(docs, _print, schema), "fingerprints")
+
+
+def _rooted(first: DataFrame) -> DataFrame:
+    """first (fp, ... one row for each fingerprint) with root, the least fingerprint that links lead to."""
     # Key bits are compared on both sides by value; keys are dealt and sorted by Spark, which spills.
     dealt = map_arrow(first.select("fp"), _expand, "key long, fp long, own boolean").repartition("key").sortWithinPartitions("key")
     roots = components(map_arrow(dealt, _match, "u long, v long")).select(F.col("node").alias("fp"), "root")
-    named = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed 64-bit fingerprint) and component_id of each row of docs (doc_id, text)."""
+    prints = _prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    named = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    # written, so that neither join below is tied to an aggregate and a large component or group of copies can be split
+    least = shared_table(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    return prints.join(shared_table(named.join(least, "root").select("fp", "component_id"), "members"), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -226,14 +274,16 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those rows that are not the first (least doc_id) of their component; one row of an id stays.
-
-    Rows that share an id are one document, first if any of them is. A null doc_id is kept only where its whole
-    component has none.
-    """
-    marks = shared_table(near_duplicates(docs), "components")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = marks.groupBy("doc_id").agg(F.bool_or(first).alias("first")).where("NOT first").select("doc_id")
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    kept, named, nameless = marks.where(first).agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    return out.dropDuplicates(["doc_id"]) if kept - named - nameless else out
+    """One row of docs for each component: that of the least doc_id, null ids last, of equal ids the least hash of the
+    text; of rows that are equal in both the one of the least hash of its other columns."""
+    renamed = plain(docs, "doc_id", "text")
+    # 128 bits name a row by its id and text
+    marked = renamed.withColumns({"a_": F.xxhash64("doc_id", "text"), "b_": F.xxhash64(F.lit(1), "doc_id", "text")})
+    prints = _prints(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "a_", "b_", "text"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "a_", "b_")
+    named = _rooted(prints.groupBy("fp").agg(F.min(place).alias("first")))
+    best = named.groupBy("root").agg(F.min("first").alias("best")).select("best.a_", "best.b_")
+    others = [c for c in renamed.columns if c not in ("doc_id", "text") and "map<" not in renamed.schema[c].dataType.simpleString()]
+    once = Window.partitionBy("a_", "b_").orderBy(F.xxhash64(F.lit(0), *others))
+    kept = marked.join(shared_table(best, "kept"), ["a_", "b_"], "left_semi")
+    return kept.withColumn("place_", F.row_number().over(once)).where("place_ = 1").select(*renamed.columns).toDF(*docs.columns)

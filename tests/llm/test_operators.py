@@ -281,6 +281,21 @@ def test_simhash_edges(edge, empty):
     assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 7]
 
 
+def test_simhash_keeps_unlike_texts(spark):
+    """Null ids and repeated ids of unlike texts are rows of their own; of equal rows one stays."""
+    words = [[f"{a}{i}" for i in range(40)] for a in "abcdefg"]
+    texts = [" ".join(w) for w in words]
+    rows = [(None, texts[0], "x"), (None, texts[1], "x"), (None, texts[2], "x"), (8, texts[3], "x"), (9, texts[4], "x"), (9, texts[5], "y"), (9, texts[5], "x")]
+    rows += [(None, texts[3], "z"), (4, texts[6], "x"), (5, texts[6], "x"), (4, texts[6], "x"), (7, None, "x"), (6, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, a_ string")
+    kept = simhash.keep_first(frame)
+    assert kept.columns == frame.columns
+    out = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert out == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[3]), (9, texts[4]), (9, texts[5]), (4, texts[6]), (6, "")], key=str)
+    assert out == sorted(((r.doc_id, r.text) for r in simhash.keep_first(frame.repartition(3)).collect()), key=str)
+    assert simhash.keep_first(frame.limit(0)).count() == 0
+
+
 def test_golay_keys_find_all_links():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.int64) * rng.choice([-1, 1], 4000)
@@ -297,6 +312,26 @@ def test_golay_keys_find_all_links():
     for k, r in zip(kb.tolist(), rb.tolist()):
         look[r].add(k)
     assert all(own[r] & look[r] for r in range(4000))
+    assert len(ka) < 330 * len(a)
+    # unrelated fingerprints hardly ever share a key
+    chance = Counter(ka[oa].tolist())
+    assert sum(n - 1 for n in chance.values()) < 20
+
+
+def test_golay_keys_in_all_ways_of_four_bits():
+    """Each way to lay 4 bits over the segments, some thousand times."""
+    rng = np.random.default_rng(7)
+    for way in [w for w in itertools.product(range(5), repeat=3) if sum(w) <= 4]:
+        a = rng.integers(0, 1 << 63, 300, dtype=np.int64)
+        b = a.copy()
+        for k in range(300):
+            for (at, n), e in zip(simhash.SEGMENTS, way):
+                for bit in rng.choice(n, e, replace=False):
+                    b[k] ^= np.uint64(1 << (at + int(bit))).view(np.int64)
+        ka, ra, oa = simhash.keys(a)
+        kb, rb, ob = simhash.keys(b)
+        first = set(zip(ra[oa].tolist(), ka[oa].tolist())) & set(zip(rb.tolist(), kb.tolist()))
+        assert {r for r, _ in first} == set(range(300)), way
 
 
 def test_simhash_forest_of_dense_groups():
