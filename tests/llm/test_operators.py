@@ -549,47 +549,72 @@ def test_lm_edges(edge, empty):
     assert [r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 3)] == [1, 1, 1]
 
 
-def plain_lines(rows):
-    def templates(line):
-        w = ["<*>" if re.search("[0-9]", x) else x for x in line.split()]
-        if len(w) < 3:
-            return []
-        out = [(len(w), *w)]
-        if len(w) >= 8:
-            rest = w[2:]
-            cuts = [len(rest) * i // 4 for i in range(5)]
-            out += [(len(w), *w[:2], i, *((k, tuple(rest[cuts[k] : cuts[k + 1]])) for k in range(4) if k != i)) for i in range(4)]
-        return out
+def plain_templates(line, params=linededup.LineParams()):
+    """The line's own template first, then one for each block that may vary."""
+    space = "[ \t\n\x0b\x0c\r]+"
+    w = [x for x in re.split(space, line) if x]
+    if not w:
+        return []
+    if len(w) < params.min_tokens:
+        return [(len(w), *w)]
+    w = ["<*>" if re.search("[0-9]", x) else x for x in w]
+    out = [(len(w), *w)]
+    if len(w) >= params.general:
+        rest, d = len(w) - params.depth, params.depth
+        cuts = [d + rest * i // params.blocks for i in range(params.blocks + 1)]
+        out += [(len(w), i, *w[:a], None, *w[b:]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return out
+
 
+def plain_recurring(rows, params=linededup.LineParams()):
+    """First document of each template that recurs."""
     seen = defaultdict(set)
     for i, text in rows:
         for line in (text or "").split("\n"):
-            for t in (ts := templates(line)):
-                seen[t].add((i, ts[0]))
-    out = {}
+            for t in (ts := plain_templates(line, params)):
+                seen[t].add((math.inf if i is None else i, ts[0]))
+    return {t: min(d for d, _ in s) for t, s in seen.items() if len({d for d, _ in s}) >= params.min_docs and (None not in t or len({o for _, o in s}) > 1)}
+
+
+def plain_lines(rows, params=linededup.LineParams()):
+    first, out = plain_recurring(rows, params), Counter()
     for i, text in rows:
-        drop = []
-        for k, line in enumerate((text or "").split("\n")):
-            for j, t in enumerate(templates(line)):
-                if min(d for d, _ in seen[t]) < i and (j == 0 or len({o for _, o in seen[t]}) > 1):
-                    drop.append(k)
-                    break
-        out[i] = (len((text or "").split("\n")), drop, "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop) if text is not None else None)
+        own = (text or "").split("\n")
+        drop = [k for k, line in enumerate(own) if any(first.get(t, math.inf) < (math.inf if i is None else i) for t in plain_templates(line, params))]
+        out[(i, len(own) if text is not None else 0, len(drop), ",".join(map(str, drop)), "\n".join(x for k, x in enumerate(own) if k not in drop) if text is not None else None)] += 1
     return out
 
 
 def test_line_dedup(docs, rows):
-    want = plain_lines([(i, t) for i, t, _, _ in rows])
-    out = got(linededup.query(docs))
-    assert {r["doc_id"]: (r["n_lines"], r["dropped_lines"], r["text"]) for r in out} == want and any(r["n_dropped"] for r in out)
+    own = [(i, t) for i, t, _, _ in rows]
+    want = plain_lines(own)
+    assert flat(linededup.query(docs)) == want and any(k[2] for k in want)
+    params = linededup.LineParams(depth=1, blocks=3, general=6, min_tokens=2, min_docs=3)
+    assert flat(linededup.query(docs, params)) == plain_lines(own, params)
 
 
 def test_line_dedup_edges(spark, edge, empty):
     out = got(linededup.dedup(edge))
     assert len(out) == 10 and linededup.query(empty).count() == 0 and set(out[0]) == {*edge.columns, "n_lines", "dropped_lines"} and {r["row_"] for r in out} == {"x"}
-    log = [(1, "user 17 logged in\nkeep this one"), (2, "user 99 logged in\nuser 5 logged in"), (3, "the quick brown fox jumps over one lazy dog today\nshort"), (4, "the quick brown fox jumps over two lazy dog today\nshort")]
-    kept = {r["doc_id"]: r["text"] for r in got(linededup.query(spark.createDataFrame(log, "doc_id long, text string")))}
-    assert kept == {1: log[0][1], 2: "", 3: log[2][1], 4: "short"}
+    assert flat(linededup.query(edge)) == plain_lines([(r.doc_id, r.text) for r in edge.collect()])
+    log = [(1, "user 17 logged in\nkeep this one"), (2, "user 99 logged in\nuser 5 logged in"), (3, "the quick brown fox jumps over one lazy dog today\nshort"), (4, "the quick brown fox jumps over two lazy dog today\nshort\n\nno. 7")]
+    frame = spark.createDataFrame([(*r, 5, "c") for r in log], "doc_id long, text string, n_lines int, key string")
+    kept = linededup.dedup(frame)
+    assert sorted(kept.columns) == sorted([*frame.columns, "dropped_lines"])
+    assert {r.doc_id: (r.text, r.n_lines, r.key) for r in kept.collect()} == {1: (log[0][1], 2, "c"), 2: ("", 2, "c"), 3: (log[2][1], 2, "c"), 4: ("\nno. 7", 4, "c")}
+    shown = {(r.first_doc, r.n_docs, r.n_lines, r.template) for r in linededup.templates(frame).collect()}
+    assert shown == {(1, 2, 3, "user <*> logged in"), (3, 2, 2, "the quick brown fox jumps over <*> dog today"), (3, 2, 2, "short")}
+
+
+def test_line_templates_in_pieces():
+    """Hashes do not depend on where a text is cut into pieces, and tell different tokens apart."""
+    rng = np.random.default_rng(13)
+    data = b"\n".join(b" ".join(b"%d" % x if x % 5 else b"w\xc3\xa9%x" % x for x in rng.integers(0, 50, n)) for n in rng.integers(0, 30, 60)) + b"\n" + b"x" * 500 + b" y\n"
+    whole, parts = linededup._tokens(data), linededup._tokens(data, 40)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    words = [(i, w) for i, line in enumerate(data.split(b"\n")) for w in line.split()]
+    assert whole[2].tolist() == [i for i, _ in words] and whole[1].tolist() == [bool(re.search(rb"[0-9]", w)) for _, w in words]
+    assert len(dict(zip((w for _, w in words), whole[0].tolist()))) == len(set(whole[0].tolist()))
 
 
 def test_one_query_per_operator():
