@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import bounded_texts, fold, shared_table, training_sample
+from tabloom.llm._base import bounded_texts, chunks, fold, shared_table, split, training_sample
 
 
 @dataclass(frozen=True)
@@ -51,34 +51,6 @@ class LMParams:
     flush_words: int = 600_000
 
 
-def split(column):
-    """(words of each text, words of all texts laid end to end) of an Arrow string column; null is empty."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column.fill_null(""))))
-    words = lists.flatten().cast(pa.binary())
-    some = pc.not_equal(pc.binary_length(words), 0)  # a text without words is split into one empty string
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    if pc.all(some, min_count=0).as_py():
-        return lengths, words
-    counts = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
-    ends = np.cumsum(lengths)
-    return counts[ends] - counts[ends - lengths], words.filter(some)
-
-
-def chunks(column, size: int = 1 << 21) -> Iterator:
-    """Slices of an Arrow string column of about size bytes; a longer text is whole in one."""
-    import pyarrow.compute as pc
-
-    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, at = np.cumsum(lengths), 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + size, "right")))
-        yield column.slice(at, to - at)
-        at = to
-
-
 def _bucket(word: bytes, params: LMParams) -> int:
     """Item of a word that is not in the vocabulary."""
     return params.classes**2 - params.buckets + zlib.crc32(word[:2] + word[-2:]) % params.buckets

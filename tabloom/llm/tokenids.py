@@ -1,13 +1,15 @@
 """Token-ID output: ids of a public tokenizer, stored per shard as a Re-Pair grammar.
 
 A shard's ids are compressed by rounds of Re-Pair: the most frequent adjacent pairs become nonterminals, where of
-overlapping pairs the more frequent (then the earlier) wins, and rounds go on until no pair is frequent. The file
+overlapping pairs the more frequent (then the lesser) wins, and rounds go on until no pair occurs `least` times. The file
 format is a Parquet folder with one row per shard: the remaining sequence, the rules (two symbols each), the
 expansion length of every rule, and the ids and token counts of the shard's documents. Expansion lengths give the
 place of any token, so `decode` opens any range without expanding what lies before it.
 
-Edge cases: a null text is an empty one and has the end id only; equal or null doc_ids stand in input order after
-their sort (nulls first); a table without rows gives no shard. Other columns are not looked at.
+Edge cases: a null text is an empty one and has the end id only; null doc_ids come first; rows of equal doc_id stand
+in the order of their text's hash, so only equal rows are interchangeable, and may lie in several parts; a text longer
+than a shard is a shard of its own; a table without rows gives no shard. Other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ import os
 import unicodedata
 import uuid
 import zlib
-from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import byte_texts, map_arrow, ragged, shared_dir
+from tabloom.llm._base import chunks, map_arrow, ragged, shared_dir, split
 
 FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int, sequence binary, rules binary, lengths binary, doc_ids binary, doc_null binary, doc_tokens binary"
 
@@ -31,36 +34,40 @@ FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int,
 @dataclass(frozen=True)
 class TokenParams:
     """tokenizer: path of the vocabulary file (None: the installed public_tokenizers' word_bpe_49k.json);
-    shard_tokens: tokens of a shard (one document at least); pairs, rounds, least: pairs that a Re-Pair round
-    replaces at most, rounds at most, and occurrences that a pair needs; cache_words: words whose ids a worker holds,
-    of which the first third, where the frequent ones come up, outlives the others."""
+    shard_tokens: tokens of a shard (one document at least); pairs, least: pairs that a Re-Pair round replaces at most,
+    and occurrences that a pair needs; cache_words: words whose ids a worker holds, of which the first third, where
+    the frequent ones come up, outlives the others; text_bytes: texts that are encoded at once, one at least."""
 
     tokenizer: str | None = None
     end_id: int = 1
     shard_tokens: int = 1 << 20
     pairs: int = 8192
-    rounds: int = 10
     least: int = 8
     cache_words: int = 600_000
+    text_bytes: int = 1 << 23
 
 
 class Encoder:
     """Ids of whole texts, word by word. The tokenizer splits at white space before anything else reaches across it,
-    so the ids of a text are those of its words in turn; each distinct word is encoded once. Lower-casing A-Z first
-    makes fewer distinct words and no other ids, as the tokenizer lower-cases itself."""
+    so the ids of a text are those of its words in turn; each distinct word is encoded once, and its ids are copied from
+    one array for all its places. Lower-casing A-Z first makes fewer distinct words and no other ids, as the tokenizer
+    lower-cases itself."""
 
     _own: dict = {}
 
-    def __init__(self, path: str, cache_words: int):
+    def __init__(self, path: str, params: TokenParams):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.cache_words, self.known = Tokenizer.from_file(path), cache_words, {b"": b""}
-        self.first: dict[bytes, bytes] = {}
+        self.tokenizer, self.params = Tokenizer.from_file(path), params
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.number: dict[bytes, int] = {}
+        self.ends, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)  # ids of word k end at ends[k + 1]
+        self._add([b"."], *self._encode(["."]))
+        self._add([b","], *self._encode([","]))
 
     @classmethod
     def of(cls, params: TokenParams) -> Encoder:
@@ -69,39 +76,64 @@ class Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        if path not in cls._own:
-            cls._own[path] = cls(path, params.cache_words)
-        return cls._own[path]
-
-    def _letters(self, stems: list[bytes]) -> None:
-        """Encode words of letters that the normaliser leaves as they are: each is one piece, whose last token alone
-        is one that ends a word, so that one call serves many of them."""
-        ids = np.array(self.plain.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, np.uint32)
-        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-        raw, known = ids.tobytes(), self.known
-        if len(ends) != len(stems):
-            for stem in stems:
-                self._one(stem.decode())
-            return
-        begin = 0
-        for stem, end in zip(stems, ends):
-            known[stem] = raw[begin:end]
-            begin = end
+        key = (path, params.cache_words, params.text_bytes)
+        if key not in cls._own:
+            cls._own[key] = cls(path, params)
+        return cls._own[key]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each text) of texts that are encoded one by one."""
+        parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.array([i for x in parts for i in x], np.uint32), np.array([len(x) for x in parts], np.int64)
+
+    def _letters(self, stems: list[str], size: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters that the normaliser leaves as they are: each is one piece, whose last token
+        alone is one that ends a word, so that one call serves many of them."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(stems), size):
+            some = stems[at : at + size]
+            own = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            n = np.diff(np.flatnonzero(self.ends_word[own]) + 1, prepend=0)
+            if len(n) != len(some):
+                own, n = self._encode(some)
+            ids.append(own)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, used = len(self.number), int(self.ends[len(self.number)])
+        if n + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words) + 1), np.int64)])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = used + np.cumsum(counts)
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def _of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def _copy(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words laid end to end."""
+        begin = self.ends[number]
+        counts = self.ends[number + 1] - begin
+        return self.ids[ragged(begin, counts)], counts
 
     def _learn(self, words: list[bytes]) -> None:
-        known, other, stems, stopped = self.known, [], {}, []
+        known, other, stems = self.number, [], {}
+        stopped: list[tuple[bytes, bytes, bytes]] = []
         for word in words:
             if word.isalpha():  # ASCII letters
                 stems[word] = None
                 continue
-            if word[:-1].isalpha() and word[-1] in b".,":
+            if word[:-1].isalpha() and word[-1] in b".,":  # a lone stop behind letters is a piece of its own
                 key = word[:-1]
                 if key not in known:
                     stems[key] = None
-                stopped.append((word, key, chr(word[-1])))
+                stopped.append((word, key, word[-1:]))
                 continue
             text = word.decode()
-            stem = text[:-1] if text[-1] in ".," else text  # a lone stop behind letters is a piece of its own
+            stem = text[:-1] if text[-1] in ".," else text
             if not stem.isascii() and "Σ" not in stem and "İ" not in stem:
                 stem = stem.lower()  # of single characters, as the tokenizer does it
             if stem.isalpha() and (stem.isascii() or stem == stem.lower() and unicodedata.is_normalized("NFC", stem)):
@@ -109,59 +141,72 @@ class Encoder:
                 if key not in known:
                     stems[key] = None
                 if key != word:
-                    stopped.append((word, key, text[-1] if len(stem) < len(text) else ""))
+                    stopped.append((word, key, word[-1:] if len(stem) < len(text) else b""))
             else:
-                other.append((word, text))
-        if stems:
-            self._letters(list(stems))
-        for word, key, stop in stopped:
-            known[word] = known[key] + ((known.get(stop.encode()) or self._one(stop)) if stop else b"")
-        for (word, _), e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False) if other else []):
-            known[word] = array("I", e.ids).tobytes()
-
-    def _one(self, text: str) -> bytes:
-        ids = self.known[text.encode()] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of a UTF-8 text."""
-        words = text.lower().replace(b"\n", b" ").split(b" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if not self.first and len(self.known) > self.cache_words // 3:
-                self.first = dict(self.known)
-            if len(self.known) > self.cache_words:
-                self.known = dict(self.first)
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
+                other.append(word)
+        self._add(list(stems), *self._letters([k.decode() for k in stems]))
+        if stopped:
+            stem = self._of([key for _, key, _ in stopped])
+            stop = np.where([not mark for _, _, mark in stopped], -1, self._of([mark for _, _, mark in stopped]))
+            begin, ends = np.stack([self.ends[stem], self.ends[stop]], 1), np.stack([self.ends[stem + 1], self.ends[stop + 1]], 1)
+            counts = np.where(np.stack([stem, stop], 1) < 0, 0, ends - begin)
+            self._add([word for word, _, _ in stopped], self.ids[ragged(begin.ravel(), counts.ravel())], counts.sum(1))
+        if other:
+            self._add(other, *self._encode([word.decode() for word in other]))
+
+    def _forget(self) -> None:
+        """Hold the first third of the words only."""
+        self.number = dict(islice(self.number.items(), self.params.cache_words // 3))
+
+    def encode(self, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids laid end to end, number of ids of each text) of some texts at a time, of an Arrow string column."""
+        for texts in chunks(column, self.params.text_bytes):
+            if len(self.number) > self.params.cache_words:
+                self._forget()
+            lengths, words = split(texts)
+            coded = words.dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            number = self._of(distinct)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                words = [distinct[i] for i in new.tolist()]
+                self._learn(words)
+                number[new] = self._of(words)
+            ids, counts = self._copy(number[coded.indices.to_numpy(zero_copy_only=False)])
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+            ends = np.cumsum(lengths)
+            yield ids, upto[ends] - upto[ends - lengths]
 
 
 def compress(ids: np.ndarray, first_rule: int, params: TokenParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, rules (n, 2), expansion lengths): symbols from first_rule on are rules."""
+    """(sequence, rules (n, 2), expansion lengths): symbols from first_rule on are rules.
+
+    Only places whose pair can be frequent are looked at: those whose pair was in the round before, by an upper bound
+    from counts of hashed pairs, and those beside a new symbol; other pairs only become rarer.
+    """
     a = ids.astype(np.int64)
     rules, lengths, top = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64), first_rule
-    bits = 18
-    for _ in range(params.rounds):
-        if len(a) < 2:
-            break
-        key = (a[:-1] << 32) | a[1:]
+    bits, live = 20, np.arange(max(0, len(a) - 1))
+    while len(live):
+        key = (a[live] << 32) | a[live + 1]
+        slot = _slot(key, bits)
+        can = np.bincount(slot, minlength=1 << bits)[slot] >= params.least
+        live, key, slot = live[can], key[can], slot[can]
         ordered = np.sort(key)
-        cut = np.flatnonzero(np.diff(ordered)) + 1
-        begin = np.concatenate([[0], cut])
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
         number = np.diff(begin, append=len(ordered))
-        often = np.flatnonzero(number >= params.least)
+        often = np.flatnonzero(number >= params.least) if len(ordered) else np.zeros(0, np.int64)
         if not len(often):
             break
         best = often[np.argsort(-number[often], kind="stable")[: params.pairs]]
         pairs = ordered[begin[best]]
         # pairs by a hashed slot; of those that share one the most frequent stays for this round
-        slot = _slot(pairs, bits)
+        held = _slot(pairs, bits)
         holder = np.full(1 << bits, -1, np.int32)
-        holder[slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rank = holder[_slot(key, bits)]
-        place = np.flatnonzero((rank >= 0) & (pairs[rank] == key))
-        rank = rank[place]
+        holder[held[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        rank = holder[slot]
+        some = np.flatnonzero((rank >= 0) & (pairs[rank] == key))
+        place, rank = live[some], rank[some]
         beside = np.diff(place) == 1
         equal = np.concatenate([[False], beside & (rank[1:] == rank[:-1])])
         run = np.arange(len(rank)) - np.maximum.accumulate(np.where(equal, 0, np.arange(len(rank))))
@@ -175,7 +220,14 @@ def compress(ids: np.ndarray, first_rule: int, params: TokenParams) -> tuple[np.
         a[at] = top + np.cumsum(use)[drawn] - 1
         keep = np.ones(len(a), bool)
         keep[at + 1] = False
+        moved = np.cumsum(keep) - 1
         a = a[keep]
+        near = moved[at]
+        mark = np.zeros(len(a) + 1, bool)
+        mark[moved[live[keep[live]]]] = True
+        mark[near] = True
+        mark[near[near > 0] - 1] = True
+        live = np.flatnonzero(mark[: max(0, len(a) - 1)])
         body = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)
         lengths = np.concatenate([lengths, _measure(body, lengths, first_rule).sum(1)])
         rules.append(body)
@@ -250,7 +302,8 @@ class Shard:
 def write(docs: DataFrame, path: str, params: TokenParams = TokenParams()) -> None:
     """Write the shards of docs (doc_id, text), in ascending doc_id order over parts and shards."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    dealt = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches):
         import pyarrow as pa
@@ -258,29 +311,36 @@ def write(docs: DataFrame, path: str, params: TokenParams = TokenParams()) -> No
 
         encoder, part = Encoder.of(params), TaskContext.get().partitionId()
         first_rule = encoder.tokenizer.get_vocab_size()
-        end, names = np.uint32(params.end_id).tobytes(), [f.split()[0] for f in FORMAT.split(", ")]
+        names = [f.split()[0] for f in FORMAT.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
-        shard, start = 0, 0
-        ids: list = []
-        own: list[bytes] = []
-        size = 0
+        shard, start, size = 0, 0, 0
+        own: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # doc_ids, whether null, ids, their numbers
 
         def flush():
-            nonlocal shard, start, ids, own, size
-            flat = np.frombuffer(b"".join(own), np.uint32)
+            nonlocal shard, start, own, size
+            doc_ids, nulls, flat, counts = (np.concatenate(x) for x in zip(*own))
             sequence, rules, lengths = compress(flat, first_rule, params)
-            row = [part, shard, start, len(flat), first_rule, sequence.tobytes(), rules.tobytes(), lengths.tobytes(), np.array([d or 0 for d in ids], np.int64).tobytes(), np.array([d is None for d in ids], bool).tobytes(), np.array([len(x) // 4 for x in own], np.int64).tobytes()]
-            shard, start, ids, own, size = shard + 1, start + len(flat), [], [], 0
+            row = [part, shard, start, len(flat), first_rule, *(x.tobytes() for x in (sequence, rules, lengths, doc_ids, nulls, counts))]
+            shard, start, own, size = shard + 1, start + len(flat), [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                tokens = encoder.encode(text) + end
-                if own and size + len(tokens) > 4 * params.shard_tokens:
-                    yield flush()
-                ids.append(doc_id)
-                own.append(tokens)
-                size += len(tokens)
+            at, nulls = 0, batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy()
+            for ids, counts in encoder.encode(batch.column(1)):
+                flat, counts = np.insert(ids, np.cumsum(counts), np.uint32(params.end_id)), counts + 1
+                ends, k = np.cumsum(counts), 0
+                while k < len(counts):
+                    before = int(ends[k - 1]) if k else 0
+                    # texts that the shard still has room for; at least one if it is empty
+                    to = max(int(np.searchsorted(ends, before + params.shard_tokens - size, "right")), k + (not own))
+                    if to > k:
+                        own.append((doc_ids[at + k : at + to], nulls[at + k : at + to], flat[before : ends[to - 1]], counts[k:to]))
+                        size += int(ends[to - 1]) - before
+                    if to < len(counts):
+                        yield flush()
+                    k = to
+                at += len(counts)
         if own:
             yield flush()
 
