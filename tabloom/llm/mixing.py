@@ -2,19 +2,22 @@
 
 The mix is the one nearest to the corpus in relative entropy over its words whose words per source meet their
 targets. Its dual is convex; Newton iterations run distributed over the constraint cells (documents of equal
-features, added up before the shuffle), with the multipliers as a column: rate = exp(multiplier), so every word of a
-source is tilted alike and a document's rate never exceeds the cap. Rates become whole copies by diffusing the
-rounding error from large to small documents within bounded buckets of a source.
-
-Edge cases: a null text has size 0 and is taken 0 times over; a null source is one source, the last; a source without
-words has target 0; an empty table gives no row. Equal documents differ by doc_id, and repeated rows by place.
+features, added up before the shuffle and written, so that no iteration looks at documents again), with the multipliers
+as a column: rate = exp(multiplier), so every word of a source is tilted alike and a document's rate never exceeds the
+cap. Rates become whole copies by diffusing the rounding error from large to small documents within bounded buckets of
+a source.
+
+Edge cases: a null text has size 0 and is taken 0 times over, as is one without words; a null source is one source, the
+last; a source without words has target 0; a very long text is one document, so it comes whole or not at all; an empty
+table gives no row. Equal documents differ by doc_id, and repeated rows by place; sources of equal size differ by name.
+Columns other than doc_id, text and source, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm._base import plain, shared_table
@@ -38,25 +41,33 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(blank, F.lit("[^ ]+")), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame, params: MixParams) -> DataFrame:
-    """sources (source, source_size) with target: shares by weight, held at cap times the size, the rest reshared.
+def _placed(sources: DataFrame) -> DataFrame:
+    """sources with place, from 0 on in code-point order, null last: places in sorted partitions, and what lies before."""
+    order = F.col("source").asc_nulls_last()
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sources.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id())
+    dealt = shared_table(dealt, "sources")
+    part, offset, total = F.shiftright("at", 33), F.lit(0), 0
+    for p, k in sorted(tuple(r) for r in dealt.groupBy(part).count().collect()):  # one row for each partition
+        offset, total = F.when(part >= p, total).otherwise(offset), total + k
+    return dealt.withColumn("place", F.col("at") - F.shiftleft(part, 33) + offset).drop("at")
 
-    A source is held if its cap lies below what the others' common level gives it; in order of cap by weight that is
-    a prefix, found by running sums.
-    """
+
+def targets(sources: DataFrame, params: MixParams) -> DataFrame:
+    """sources (source, source_size, ...) with target: shares by weight, held at cap times the size where they exceed
+    it, and the excess reshared among the others by weight until none does."""
     n = len(params.weights)
-    ranked = sources.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*map(F.lit, params.weights)), (F.col("place") % n + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight.cast("long")).withColumn("most", F.col("source_size") * params.cap)
-    order = Window.orderBy(F.col("most") / F.col("weight"), "place")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    run = ranked.withColumns({"held_before": F.coalesce(F.sum("most").over(upto), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(upto), F.lit(0)), "total": F.sum("source_size").over(every), "weights": F.sum("weight").over(every)})
-    # the level if all before this source are held and no other
-    level = (F.col("total") - F.col("held_before")) / (F.col("weights") - F.col("weight_before"))
-    run = run.withColumn("free_level", F.when(level * F.col("weight") <= F.col("most"), level))
-    run = run.withColumn("level", F.first("free_level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return run.select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double"))).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, params.weights)), (F.col("place") % n + 1).cast("int")).cast("long")
+    given = shared_table(_placed(sources).withColumns({"weight": weight, "most": F.col("source_size") * params.cap}), "shares")
+    total, held, level = given.agg(F.sum("source_size")).first()[0] or 0, -1, 0.0
+    while True:  # the level of a weight's share only grows, and with it what is held
+        over = F.col("most") < F.lit(level) * F.col("weight") if held >= 0 else F.lit(False)
+        number, words, free = given.agg(F.count_if(over), F.sum(F.when(over, F.col("most")).otherwise(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if number == held or not free:
+            break
+        held, level = number, (total - words) / free
+    share = F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight"))
+    return given.withColumn("target", share).drop("place", "weight", "most")
 
 
 def balance(cells: DataFrame, params: MixParams) -> DataFrame:
@@ -99,8 +110,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """Of each row of docs (doc_id, text, source): doc_id, size, source, source_size, target, rate and copies."""
     sized = shared_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    wanted = targets(sources.select("source", "source_size"), params)
-    rated = shared_table(balance(wanted.join(sources.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), params), "rates")
+    rated = shared_table(balance(shared_table(targets(sources, params), "targets"), params), "rates")
     # a source's documents are dealt over as many buckets as its rows ask for, so none grows with the source
     keyed = rated.withColumnRenamed("source", "s")
     bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / params.bucket_rows).cast("long"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -149,10 +150,22 @@ def test_token_ids_edges(edge, empty, tokenizer):
     want = token_rows([(r.doc_id, r.text) for r in edge.collect()], tokenizer)
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == Counter((a, c, d) for a, _, c, d in want.elements())
     assert tokenids.query(empty).count() == 0
-    odd = "CAFÉ Ünïcode  don't... a.b, c,d. 3.14 x. y\tz w İstanbul ΣΑΣ 'll"
-    encoder = tokenids.Encoder.of(tokenids.TokenParams())
-    for text in (odd, odd.lower(), "  ", "…", "a\n\n.b .", "x" * 3000, "café. naïve, straße. ÉCOLE e\u0301t\u00e9 ŉ ǆ ﬁn.", ". , .. ,, a.. b,,"):
-        assert np.frombuffer(encoder.encode(text.encode()), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    odd = "CAFÉ Ünïcode  don't... a.b, c,d. 3.14 x. y\tz w İstanbul ΣΑΣ 'll"
+    texts = [odd, odd.lower(), "", "  ", "…", "a\n\n.b .", None, "x" * 3000, "café. naïve, straße. ÉCOLE e\u0301t\u00e9 ŉ ǆ ﬁn.", ". , .. ,, a.. b,,", "a\u00a0b\x1cc\x85d\u2028e\x0bf\rg"] * 3
+    for params in (tokenids.TokenParams(), tokenids.TokenParams(cache_words=12, text_bytes=60)):
+        encoder = tokenids.Encoder.of(params)
+        parts = [p for ids, counts in encoder.encode(pa.array(texts, pa.string())) for p in np.split(ids, np.cumsum(counts)[:-1])]
+        assert [p.tolist() for p in parts] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_ids_ties(spark, tokenizer):
+    """Rows of one doc_id stand in the order of their text's hash, whatever the order of the input."""
+    frame = spark.createDataFrame([(i, t) for i in (None, 3, 3, -5) for t in ("one two", "three", None, "", "one two", "x " * 50)], "doc_id long, text string")
+    params = tokenids.TokenParams(shard_tokens=40)
+    out = sorted(tuple(r) for r in tokenids.query(frame, params).select("start", F.coalesce("doc_id", F.lit(-99)), "n_tokens", "ids_crc32").collect())
+    again = sorted(tuple(r) for r in tokenids.query(frame.orderBy(F.desc("text")).repartition(5), params).select("start", F.coalesce("doc_id", F.lit(-99)), "n_tokens", "ids_crc32").collect())
+    assert out == again and [r[1] for r in out] == sorted(r[1] for r in out)
+    assert [r[0] for r in out] == np.cumsum([0, *(r[2] for r in out[:-1])]).tolist()
 
 
 def test_repair_and_random_access():
@@ -168,7 +181,10 @@ def test_repair_and_random_access():
             a = int(rng.integers(0, len(ids)))
             n = int(rng.integers(1, 40))
             assert (shard.decode(a, n) == ids[a : a + n]).all()
-    assert len(tokenids.compress(np.array([5, 6] * 3000, np.uint32), 1000, params)[0]) < 100
+        # no pair is left that occurs often
+        pairs = Counter(zip(sequence[:-1].tolist(), sequence[1:].tolist()))
+        assert all(n < 2 * params.least for n in pairs.values())
+    assert len(tokenids.compress(np.array([5, 6] * 3000, np.uint32), 1000, params)[0]) < 16
 
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -428,6 +444,16 @@ def plain_targets(sizes, weights=(1, 2, 3)):
         held |= {s: 3 * sizes[s] for s in over}
 
 
+def plain_copies(sizes, rate):
+    """Floor or ceiling of the rate for each document, from the largest on, whichever leaves less owed."""
+    low, owed, out = math.floor(rate), 0.0, {}
+    for i, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        owed += size * rate
+        out[i] = min((low, low + (rate > low)), key=lambda k: (abs(owed - k * size), k))
+        owed -= out[i] * size
+    return out
+
+
 def check_mix(rows, out):
     sizes = defaultdict(int)
     for _, text, _, source in rows:
@@ -439,6 +465,17 @@ def check_mix(rows, out):
     return target, taken, largest
 
 
+def test_mixing_by_plain_rounding(docs, rows):
+    """Sources of fewer documents than a bucket: the whole result by a plain version."""
+    sizes = defaultdict(list)
+    for i, text, _, source in rows:
+        sizes[source].append((i, len(re.findall("[^\x20\x09-\x0d]+", text or ""))))
+    target, want = plain_targets({s: sum(n for _, n in x) for s, x in sizes.items()}), {}
+    for s, own in sizes.items():
+        want |= plain_copies(own, target[s] / sum(n for _, n in own))
+    assert {r["doc_id"]: r["copies"] for r in got(mixing.query(docs))} == want
+
+
 def test_mixing(docs, rows):
     out = got(mixing.query(docs))
     target, taken, _ = check_mix(rows, out)
@@ -453,6 +490,9 @@ def test_mixing_edges(spark, edge, empty):
     check_mix([(r.doc_id, r.text, r.lang, r.source) for r in edge.collect()], out)
     assert len(out) == 10 and mixing.query(empty).count() == 0
     assert mixing.resample(edge).columns == edge.columns and mixing.resample(edge).count() > 0
+    many = {f"s{i * 7919 % 997:03d}": int(2 ** (i % 17)) for i in range(500)}
+    frame = spark.createDataFrame(list(many.items()), "source string, source_size long")
+    assert {r["source"]: pytest.approx(r["target"]) for r in got(mixing.targets(frame, mixing.MixParams()))} == plain_targets(many)
     sources = spark.createDataFrame([("a", 1), ("b", 100), ("c", 50), ("d", 0), (None, 7), ("é", 3)], "source string, source_size long")
     assert {r["source"]: pytest.approx(r["target"]) for r in got(mixing.targets(sources, mixing.MixParams()))} == plain_targets({"a": 1, "b": 100, "c": 50, "d": 0, None: 7, "é": 3})
 
