@@ -1,14 +1,15 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and runs of a paragraph, in built-in functions only.
 
-Sections are parted by an empty line, paragraphs by a line end; a paragraph's leaves are its runs of `run` code
-points. A node's hash is the SHA-256 of its children's hashes, so roots test equality and unequal branches lead to
+Sections are parted by an empty line, paragraphs by a line end; a paragraph's leaves are runs of code points, short
+ones at its beginning (`HEAD`), so that short paragraphs have several, and then of `run` each. A node's hash is the SHA-256 of its children's hashes, so roots test equality and unequal branches lead to
 the edits. A fingerprint is `root|tree|leaves`: the root in full, per section its hash and its paragraphs with their
 numbers of leaves, and the first 8 digits of each leaf's hash. The likeness of two fingerprints is 1 if the roots
 agree, else twice their common (distinct) leaves by the sum of both.
 
-Edge cases: a null text counts as empty (one section, one paragraph, no leaf); of two empty texts the likeness is 1.
-Rows of equal doc_id stand in the order of their text's hash; null doc_ids come last. With one row, the next document
-is itself.
+Edge cases: a null text counts as empty (one section, one paragraph, no leaf); of two empty texts the likeness is 1; a
+very long text is hashed whole, in one row. Rows of equal doc_id stand in the order of their text's hash, and in one
+range; null doc_ids come last. With one row, the next document is itself; a table without rows gives none. All columns
+of the input stay, whatever their names, but those that a result's name replaces.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.llm._base import plain
+
+#: Places (from 1) and widths of a paragraph's first leaves.
+HEAD = ((1, 8), (9, 24), (33, 32))
+
 
 def _sha(c: Column) -> Column:
     return F.sha2(c, 256)
@@ -23,10 +29,12 @@ def _sha(c: Column) -> Column:
 
 def _nodes(df: DataFrame, text: str, name: str, run: int) -> DataFrame:
     """df with the fingerprint of column text as column name; the columns between hold one level each."""
-    leaves = F.transform(
-        F.split(text, "\n\n", -1),
-        lambda section: F.transform(F.split(section, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{run}}}"), F.lit(0)), _sha)),
-    )
+    def cut(p: Column) -> Column:
+        head = F.filter(F.array(*[F.substring(p, a, n) for a, n in HEAD]), lambda x: x != "")
+        rest = F.substring(p, F.lit(sum(HEAD[-1])), F.length(p))
+        return F.transform(F.concat(head, F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{run}}}"), F.lit(0))), _sha)
+
+    leaves = F.transform(F.split(text, "\n\n", -1), lambda section: F.transform(F.split(section, "\n", -1), cut))
     df = df.withColumn("leaves_", leaves)
     df = df.withColumn("paragraphs_", F.transform("leaves_", lambda section: F.transform(section, lambda p: F.struct(_sha(F.array_join(p, "")).alias("hash"), F.size(p).alias("n")))))
     df = df.withColumn("sections_", F.transform("paragraphs_", lambda section: _sha(F.array_join(F.transform(section, lambda p: p["hash"]), ""))))
@@ -37,7 +45,11 @@ def _nodes(df: DataFrame, text: str, name: str, run: int) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", run: int = 64) -> DataFrame:
-    return _nodes(df.withColumn("whole_", F.coalesce(F.col(text), F.lit(""))), "whole_", name, run).drop("whole_")
+    """df with the fingerprint of column text as column name."""
+    df = df.drop(name)
+    named = plain(df)
+    at = named.columns[df.columns.index(text)]
+    return _nodes(named.withColumn("whole_", F.coalesce(F.col(at), F.lit(""))), "whole_", "fingerprint_", run).drop("whole_").toDF(*df.columns, name)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,6 +75,9 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     Ids are cut into ranges by quantiles; each range is sorted by itself and gets a copy of the row that follows it,
     so that no task sees more than a range. Null ids take places below all others by their text's hash.
     """
+    given = docs.drop(*[f"next_{c}" for c in columns])
+    docs = plain(given, "doc_id", "text")
+    of = dict(zip(given.columns, docs.columns))
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     floor = -(1 << 63)
     placed = docs.withColumn("place_", F.coalesce(F.col("doc_id").cast("long"), F.lit(floor) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))))
@@ -80,7 +95,8 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     ghost = F.when(F.col("receiver_").isNotNull(), F.struct(F.col("receiver_").alias("b"), F.lit(1).alias("ghost")))
     dealt = marked.withColumn("to_", F.explode(F.array_compact(F.array(own, ghost)))).select(*docs.columns, "place_", F.col("to_.b").alias("bucket_"), F.col("to_.ghost").alias("ghost_"))
     order = Window.partitionBy("bucket_").orderBy("ghost_", F.col("place_").desc(), F.xxhash64("text"))
-    return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("ghost_ = 0").drop("place_", "bucket_", "ghost_")
+    followed = dealt.select("*", *[F.lead(of[c]).over(order).alias(f"follows{i}_") for i, c in enumerate(columns)]).where("ghost_ = 0").drop("place_", "bucket_", "ghost_")
+    return followed.toDF(*given.columns, *[f"next_{c}" for c in columns])
 
 
 def _bisect(limits: Column, n: int) -> Column:

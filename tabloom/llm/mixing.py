@@ -113,7 +113,8 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     rated = shared_table(balance(shared_table(targets(sources, params), "targets"), params), "rates")
     # a source's documents are dealt over as many buckets as its rows ask for, so none grows with the source
     keyed = rated.withColumnRenamed("source", "s")
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / params.bucket_rows).cast("long"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string"))), 1, 15), 16, 10).cast("long")
+    bucket = drawn % F.ceil(F.col("n_docs") / params.bucket_rows).cast("long")
     rows = sized.join(keyed, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s", "n_docs")
     columns = ["doc_id", "size", "source", "source_size", "target", "rate", "copies"]
     return rows.groupBy("source", "bucket").applyInPandas(lambda f: _round(columns, f), "doc_id long, size long, source string, source_size long, target double, rate double, copies int")
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 def query(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     out = mix(docs, params)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def resample(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:

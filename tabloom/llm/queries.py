@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import decontaminate, langid, linededup, lmscore, merkle, mixing, pii, simhash, tokenids, toxicity
+from tabloom.llm import decontaminate, langid, linededup, lmscore, merkle, mixing, oracle, pii, simhash, tokenids, toxicity
 from tabloom.llm._base import table
 
 
@@ -23,4 +23,10 @@ QUERIES = {
     "op10_line_dedup": lambda spark, d: linededup.query(_docs(spark, d)),
 }
 
-SQL: dict[str, str] = {}
+#: The others need trained models, a tokenizer's file, XXH64 or keyed hashes chained per character, which SQL has not.
+SQL: dict[str, str] = {
+    "op4_decontamination": oracle.DECONTAMINATION,
+    "op7_source_mixing": oracle.MIXING,
+    "op8_merkle_fingerprints": oracle.MERKLE,
+    "op10_line_dedup": oracle.LINES,
+}

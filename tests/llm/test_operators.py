@@ -506,7 +506,7 @@ def plain_merkle(text):
     for section in text.split("\n\n"):
         nodes = []
         for p in section.split("\n"):
-            leaves = [sha(p[i : i + 64]) for i in range(0, len(p), 64)]
+            leaves = [sha(x) for x in (p[:8], p[8:32], p[32:64], *(p[i : i + 64] for i in range(64, len(p), 64))) if x]
             ends += [x[:8] for x in leaves]
             nodes.append((sha("".join(leaves)), len(leaves)))
         heads.append(sha("".join(n for n, _ in nodes)))
@@ -535,6 +535,21 @@ def test_merkle(docs, rows):
     assert flat(merkle.query(docs)) == want
 
 
+def test_merkle_columns_stay(spark):
+    schema = "whole_ string, leaves_ int, paragraphs_ int, sections_ int, place_ int, bucket_ int, edge_ int, to_ int, extra0_ int, doc_id long, text string, next_text string"
+    frame = spark.createDataFrame([("w", 1, 2, 3, 4, 5, 6, 7, 8, i, f"text {i}", "n") for i in (3, 1, 2)], schema)
+    out = merkle.fingerprint(frame)
+    assert out.columns == [*frame.columns, "fingerprint"] and {r[:9] for r in map(tuple, out.collect())} == {("w", 1, 2, 3, 4, 5, 6, 7, 8)}
+    out = merkle.with_next(frame, ["text", "leaves_"])
+    assert out.columns == [*frame.columns[:-1], "next_text", "next_leaves_"]
+    assert {r.doc_id: (r.next_text, r.next_leaves_, *tuple(r)[:9]) for r in out.collect()} == {i: (f"text {j}", 1, "w", 1, 2, 3, 4, 5, 6, 7, 8) for i, j in ((3, 2), (2, 1), (1, 3))}
+
+
+def test_merkle_sees_what_is_left_of_short_texts(spark):
+    frame = spark.createDataFrame([(2, "one short line of text here"), (1, "something else altogether in it")], "doc_id long, text string")
+    assert all(0 < r["near_edited"] < 1 and r["near_next"] == 0 for r in got(merkle.query(frame)))
+
+
 def test_merkle_edges(spark, edge, empty):
     out = got(merkle.query(edge))
     assert len(out) == 10 and merkle.query(empty).count() == 0
