@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.storage import by_part, numbered
+
 
 def clean(c: str, df: DataFrame) -> Column:
     """A numeric column as double, NaN as null."""
@@ -25,33 +27,52 @@ def stats(df: DataFrame, **exprs: Column) -> dict:
     return df.agg(*[e.alias(k) for k, e in exprs.items()]).first().asDict()
 
 
-def nearest_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list]:
-    """Quantiles that are values of the column: the one at index floor(q (n - 1) + 1/2) in sorted order.
+def values_at(df: DataFrame, c: str, wanted) -> tuple[int, dict[int, float]]:
+    """(number of values of column c, those at some places in sorted order); wanted: gives the places for the number.
 
-    Columns are counted by value and ranked by running counts over value ranges, so that no task sorts a whole column.
+    The column is counted by value and ranked by running counts over value ranges, so that no task sorts it whole.
     """
+    counts = df.select(clean(c, df).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = sorted({float(x) for x in counts.approxQuantile("v", [i / 32 for i in range(1, 32)], 0.01)})
+    bucket = reduce(lambda acc, x: acc + (F.col("v") > x).cast("int"), cuts, F.lit(0))
+    dealt = counts.withColumn("bucket", bucket)
+    sizes = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.sum("n")).collect())  # at most 32 rows
+    total, before = sum(n for _, n in sizes), 0
+    if not total:
+        return 0, {}
+    places, inner = sorted({*wanted(total)}), {}
+    for b, n in sizes:
+        if own := [i - before for i in places if before <= i < before + n]:
+            inner[b] = (before, own)
+        before += n
+    own = F.lit(None).cast("array<bigint>")
+    for b, (_, at) in inner.items():
+        own = F.when(F.col("bucket") == b, F.array(*[F.lit(i).cast("bigint") for i in at])).otherwise(own)
+    ranked = dealt.where(F.col("bucket").isin(list(inner))).withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy("v")))
+    met = ranked.select("bucket", "v", F.explode(F.filter(own, lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("n")))).alias("i"))
+    return total, {inner[b][0] + i: v for b, v, i in met.collect()}  # one row for each place asked for
+
+
+def nearest_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list]:
+    """Quantiles that are values of the column: the one at index floor(q (n - 1) + 1/2) in sorted order."""
+    out: dict[str, list] = {}
+    for c in columns:
+        total, found = values_at(df, c, lambda n: [int(q * (n - 1) + 0.5) for q in qs])
+        out[c] = [found[int(q * (total - 1) + 0.5)] if total else None for q in qs]
+    return out
+
+
+def linear_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list]:
+    """Quantiles between the values around place q (n - 1), by interpolation; an empty list for a column of nulls."""
     out: dict[str, list] = {}
     for c in columns:
-        counts = df.select(clean(c, df).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        cuts = sorted({float(x) for x in counts.approxQuantile("v", [i / 32 for i in range(1, 32)], 0.01)}) if len(columns) else []
-        bucket = reduce(lambda acc, x: acc + (F.col("v") > x).cast("int"), cuts, F.lit(0))
-        dealt = counts.withColumn("bucket", bucket)
-        sizes = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.sum("n")).collect())  # at most 32 rows
-        total, before, wanted = sum(n for _, n in sizes), 0, []
-        if not total:
-            out[c] = [None] * len(qs)
-            continue
-        index = [int(q * (total - 1) + 0.5) for q in qs]
-        for b, n in sizes:
-            wanted += [(b, before, i) for i in index if before <= i < before + n]
-            before += n
-        ranked = dealt.where(F.col("bucket").isin(sorted({b for b, _, _ in wanted}))).withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy("v")))
-        found = {}
-        for b, start, i in dict.fromkeys(wanted):
-            at = i - start
-            found[i] = F.min(F.when((F.col("bucket") == b) & (F.col("upto") > at), F.col("v"))).alias(f"i{i}")
-        row = ranked.agg(*found.values()).first().asDict()
-        out[c] = [row[f"i{i}"] for i in index]
+        total, found = values_at(df, c, lambda n: [i for q in qs for i in (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1))])
+        out[c] = []
+        for q in qs if total else ():
+            at = q * (total - 1)
+            low = int(at)
+            a, b = found[low], found[min(total - 1, low + 1)]
+            out[c].append(a + (b - a) * (at - low) if b != a else a)
     return out
 
 
@@ -62,7 +83,12 @@ def upper_break(x: Column, breaks: list[float]) -> Column:
 
 
 def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
-    """df with the average rank of column c, by way of value counts."""
+    """df with the average rank of column c, by way of value counts that are summed up range by range."""
     counts = df.groupBy(F.col(f"`{c}`").alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
-    ranked = counts.withColumn("upto_", F.sum("n_").over(Window.orderBy("v_"))).select("v_", (F.col("upto_") - (F.col("n_") - 1) / 2).alias(name))
+    placed = numbered(counts, [F.col("v_")])
+    before, total = {}, 0
+    for p, n in sorted(tuple(r) for r in placed.groupBy("part_").agg(F.sum("n_")).collect()):  # one row for each range
+        before[p], total = total, total + n
+    upto = F.sum("n_").over(Window.partitionBy("part_").orderBy("place_")) + by_part(before)
+    ranked = placed.select("v_", (upto - (F.col("n_") - 1) / 2).alias(name))
     return df.join(ranked, F.col(f"`{c}`").eqNullSafe(F.col("v_"))).drop("v_")

@@ -23,14 +23,19 @@ SPAN = 1 << 18
 
 def vector(columns: list[str]) -> Column:
     """The columns as one array of doubles; missing values are null or NaN, which readers treat alike."""
-    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).cast("array<double>")
+
+
+def matrix(rows, columns: int) -> np.ndarray:
+    """A pandas series of such arrays as a matrix, null as NaN."""
+    return np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, columns)
 
 
 def references(df: DataFrame, columns: list[str], carry: list[str] = (), seed: int = 42) -> tuple[np.ndarray, list[list], np.ndarray]:
     """All rows as a matrix (null as NaN), with the carried columns and the rows' keys, in the order of the keys."""
     kept = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(carry)]
     rows = df.select(draw([*columns, *carry], seed).alias("draw_"), vector(columns).alias("x_"), *kept).orderBy("draw_").toArrow()
-    x = np.concatenate([np.empty(0), *[part.flatten().to_numpy(zero_copy_only=False) for part in rows.column("x_").chunks]]).reshape(-1, len(columns))
+    x = np.concatenate([np.empty(0), *[part.flatten().to_numpy(zero_copy_only=False) for part in rows.column("x_").chunks]]).reshape(rows.num_rows, len(columns))
     carried = [rows.column(f"o{i}").to_pylist() for i in range(len(carry))]
     return x, [list(r) for r in zip(*carried)] if carry else [[]] * len(x), rows.column("draw_").to_numpy()
 
@@ -82,11 +87,12 @@ def _least(d: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def nearest(points: np.ndarray, refs: np.ndarray | Blocks, k: int, own: np.ndarray | None = None, keys: np.ndarray | None = None, having: int | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def nearest(points: np.ndarray, refs: np.ndarray | Blocks, k: int, own: np.ndarray | None = None, keys: np.ndarray | None = None, having: int | None = None, block: int = 512, measure=None) -> tuple[np.ndarray, np.ndarray]:
     """Distances and indices of the k nearest reference rows; ties by index.
 
     own, keys: keys of the points and the references; one reference row with a point's key is the point itself and is
-    left out. having: reference rows without this column are infinitely far.
+    left out. having: reference rows without this column are infinitely far. measure: gives the squared distances of
+    some points and some references in place of the Euclidean ones.
     """
     take = min(k + (own is not None), len(refs))
     distance, index = np.empty((len(points), 0)), np.empty((len(points), 0), np.int64)
@@ -96,7 +102,7 @@ def nearest(points: np.ndarray, refs: np.ndarray | Blocks, k: int, own: np.ndarr
         whole = None if present.all() else present.astype(float)
         best_d, best_i = [], []
         for at in range(0, len(points), block):
-            d = _squares(points[at : at + block], filled, whole)
+            d = measure(points[at : at + block], rows) if measure else _squares(points[at : at + block], filled, whole)
             if having is not None:
                 d[:, ~present[:, having]] = np.inf
             places = _least(d, take)
@@ -115,9 +121,11 @@ def nearest(points: np.ndarray, refs: np.ndarray | Blocks, k: int, own: np.ndarr
     return np.sqrt(distance), index
 
 
-def nearest_everywhere(sc, points: np.ndarray, own: np.ndarray, refs: np.ndarray, keys: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """Indices of the k nearest reference rows of points that the driver holds, found by the executors."""
+def nearest_everywhere(sc, points: np.ndarray, own: np.ndarray, refs: np.ndarray, keys: np.ndarray, k: int, block: int = 512, with_distance: bool = False, measure=None):
+    """Indices (and distances before them) of the k nearest reference rows of points that the driver holds, found by
+    the executors."""
     blocks, all_keys = Blocks(sc, refs), sc.broadcast(keys)
     pieces = [(points[at : at + block], own[at : at + block]) for at in range(0, len(points), block)]
-    found = sc.parallelize(pieces, max(1, len(pieces))).map(lambda piece: nearest(piece[0], blocks, k, piece[1], all_keys.value)[1]).collect()
-    return np.concatenate(found) if found else np.empty((0, k), np.int64)
+    found = sc.parallelize(pieces, max(1, len(pieces))).map(lambda piece: nearest(piece[0], blocks, k, piece[1], all_keys.value, measure=measure)).collect()
+    distance, index = (np.concatenate([f[i] for f in found]) if found else np.empty((0, k), (float, np.int64)[i]) for i in (0, 1))
+    return (distance, index) if with_distance else index

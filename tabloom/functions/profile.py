@@ -55,6 +55,12 @@ class Profile:
         parts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), clean(c, self.df).alias("v")) for c in own])).alias("x")
         return self.df.select(parts).select("x.*").groupBy("column").agg((F.count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("unique_count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.median("v").alias("median"), F.max("v").alias("max"))
 
+    def numeric_stats(self) -> DataFrame:
+        """numeric_frame with the quarters, which are values of the column (nearest rank)."""
+        quarters = nearest_quantiles(self.df, own := feature_columns(self.df, Feature.NUMERIC), [0.25, 0.75])
+        rows = self.df.sparkSession.createDataFrame([(c, *quarters[c]) for c in own], "column string, q25 double, q75 double")
+        return self.numeric_frame().join(F.broadcast(rows), "column").select("column", "unique_count", "mean", "std", "min", "q25", "median", "q75", "max")
+
     def categorical_frame(self) -> DataFrame:
         """One row per string column, over how often its values occur."""
         own = feature_columns(self.df, Feature.CATEGORICAL)
@@ -84,3 +90,24 @@ class Profile:
             ("feature_types_count", len({*self.feature_types.values()})), ("missing_values_count", sum(self.missing.values())), ("duplicates_count", self.duplicates), ("cols_w_outliers", len(self.outlier_columns)), ("imbalanced_target", int(self.imbalanced)),
         ]
         return self.df.sparkSession.createDataFrame([(k, float(v)) for k, v in rows], "summary string, ds double")
+
+    def text(self) -> str:
+        """Nine small tables: shape, types, missing values, duplicates, numbers, strings, outliers, imbalance, summary."""
+        import pandas as pd
+
+        n, wide = self.n_rows, max(1, len(self.df.columns))
+        types = pd.DataFrame({"data_type": self.data_types, "str_subtype": {c: self.str_subtypes.get(c) for c in self.df.columns}, "feature_type": {c: f.value for c, f in self.feature_types.items()}}).T
+        missing = pd.DataFrame({c: {"count": k, "ratio": k / max(1, n)} for c, k in {**self.missing, "ds": sum(self.missing.values())}.items()})
+        missing.loc["ratio", "ds"] = sum(self.missing.values()) / max(1, n * wide)
+        tables = {
+            "shape": pd.Series({"n_rows": n, "n_columns": len(self.df.columns)}),
+            "types": types,
+            "missing_values": missing,
+            "duplicates": pd.Series({"count": self.duplicates, "ratio": self.duplicates / max(1, n)}),
+            "numeric_stats": self.numeric_stats().toPandas().set_index("column").T if feature_columns(self.df, Feature.NUMERIC) else pd.DataFrame(),
+            "categorical_stats": self.categorical_frame().toPandas().set_index("column").T if feature_columns(self.df, Feature.CATEGORICAL) else pd.DataFrame(),
+            "cols_w_outliers": pd.Series({"count": len(self.outlier_columns), "columns": ", ".join(self.outlier_columns)}),
+            "imbalanced_target": pd.Series({"imbalanced": self.imbalanced}),
+            "summary": self.summary().toPandas().set_index("summary")["ds"],
+        }
+        return "\n\n".join(f"{name}\n{table.to_string()}" for name, table in tables.items())

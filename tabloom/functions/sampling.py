@@ -37,3 +37,39 @@ def split(df: DataFrame, fraction: float, by: list[str], keys: list[str], seed:
 def sample(df: DataFrame, n: int, keys: list[str], by: list[str] = (), seed: int = 42) -> DataFrame:
     """n rows, or n of each class."""
     return _ranked(df, list(by), keys, seed).where(F.col("place_") <= n).drop("place_", "size_")
+
+
+def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """About `rows` rows of df by their draw, all if it has no more; for what the driver must hold."""
+    n = df.count()
+    return df if n <= rows else df.where(draw(keys, seed) < int((1 << 60) * (rows / n)))
+
+
+def stratified_sample(df: DataFrame, size: int, per_class: int, by: str, keys: list[str], seed: int = 42) -> DataFrame:
+    """per_class rows of each class, and as many of the others as `size` still has room for; in draw order."""
+    ranked = _ranked(df, [by], keys, seed).withColumn("kept_", F.col("place_") <= per_class).drop("place_", "size_")
+    held = ranked.where("kept_")
+    room = size - held.count()
+    more = sample(ranked.where("NOT kept_"), max(0, room), keys, seed=seed + 1)
+    return held.unionByName(more).drop("kept_")
+
+
+def subsample(df: DataFrame, size: int, target: str | None, keys: list[str], per_class: int = 2, seed: int = 42) -> DataFrame:
+    """At most `size` rows: by class in proportion where each class then has a row; else some of each class and others
+    at random; without a target at random."""
+    total = df.count()
+    if total <= size:
+        return df
+    if target is None:
+        return sample(df, size, keys, seed=seed)
+    least, classes = df.groupBy(F.col(f"`{target}`")).count().agg(F.min("count"), F.count(F.lit(1))).first()
+    if least * size >= total and classes <= size:
+        return split(df, size / total, [target], keys, seed)[1]
+    if classes * per_class <= size:
+        return stratified_sample(df, size, per_class, target, keys, seed)
+    return sample(df, size, keys, seed=seed)
+
+
+def folds(df: DataFrame, k: int, by: list[str], keys: list[str], seed: int = 42, name: str = "fold") -> DataFrame:
+    """df with a fold from 0 to k - 1, of each class in turn in draw order."""
+    return _ranked(df, by, keys, seed).withColumn(name, F.pmod(F.col("place_") - 1, F.lit(k)).cast("int")).drop("place_", "size_")

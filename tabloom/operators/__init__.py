@@ -1,6 +1,6 @@
 """All operators; importing this registers them."""
 
-from tabloom.operators import basic, features, numeric, resampling  # noqa: F401
+from tabloom.operators import basic, detection, features, manifold, numeric, resampling  # noqa: F401
 from tabloom.core import REGISTRY
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom import errors
 from tabloom.core import FLOATS, INTEGERS, SUPPORTED, TEMPORALS, Domain, Feature, Role, Stage
 from tabloom.functions import clean, stats
+from tabloom.functions.storage import numbered, shared_dir
 
 
 def q(c: str) -> Column:
@@ -260,7 +263,11 @@ class FillNoneCategoricalValue(_Each):
 
 
 class _Ordered(Stage):
-    """Stages that read rows in order: order_by gives it, partition_by cuts it so that parts run side by side."""
+    """Stages that read rows in order, which order_by gives, within each value of partition_by.
+
+    Without partition_by rows are numbered by ranges of the order and filled within each; what the ranges before and
+    behind it end with is filled in from the driver, which sees a row for each range.
+    """
 
     def __init__(self, columns=None, order_by: list[str] | None = None, partition_by: list[str] | None = None):
         super().__init__(columns)
@@ -269,24 +276,61 @@ class _Ordered(Stage):
     def select(self, ds):
         return [c for c in super().select(ds) if self.given is not None or c not in {*(self.order_by or ()), *self.partition_by}]
 
-    def window(self, df):
-        return Window.partitionBy(*self.partition_by).orderBy(*(self.order_by or df.columns))
+    def _fit(self, df, columns):
+        if not self.order_by:
+            raise errors.FitError(f"{type(self).__name__} needs order_by: rows of a frame have no order of their own")
+
+    def around(self, df: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, ...]]]:
+        """df with place_, and of each column the value and place last seen up to a row, and first seen from it on."""
+        if self.partition_by:
+            df = df.withColumn("place_", F.row_number().over(Window.partitionBy(*self.partition_by).orderBy(*self.order_by)).cast("bigint"))
+            parts = Window.partitionBy(*self.partition_by).orderBy("place_")
+        else:
+            df = numbered(df, [q(c) for c in self.order_by])
+            parts = Window.partitionBy("part_").orderBy("place_")
+        back, ahead = parts.rowsBetween(Window.unboundedPreceding, 0), parts.rowsBetween(0, Window.unboundedFollowing)
+        seen = {c: F.when(q(c).isNotNull(), F.struct(q(c).alias("v"), F.col("place_").alias("at"))) for c in self.columns}
+        out = {c: [F.last(x, ignorenulls=True).over(back), F.first(x, ignorenulls=True).over(ahead)] for c, x in seen.items()}
+        if not self.partition_by:
+            ends = df.groupBy("part_").agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(seen.values()) for k, f in (("a", lambda x: F.min_by(x, x["at"])), ("b", lambda x: F.max_by(x, x["at"])))]).collect()
+            ends = sorted(ends, key=lambda r: r["part_"])
+            for i, c in enumerate(self.columns):
+                kind = f"struct<v:{df.schema[c].dataType.simpleString()},at:bigint>"
+                for k, rows, side in (("b", ends, 0), ("a", ends[::-1], 1)):
+                    carried, held = [], None
+                    for r in rows:
+                        if held is not None:
+                            carried.append((r["part_"], held))
+                        held = r[f"{k}{i}"] if r[f"{k}{i}"] is not None else held
+                    given = F.lit(None).cast(kind)
+                    if carried:
+                        pairs = F.create_map(*[x for p, v in carried for x in (F.lit(p), F.struct(F.lit(v["v"]).cast(df.schema[c].dataType).alias("v"), F.lit(v["at"]).cast("bigint").alias("at")))])
+                        given = F.try_element_at(pairs, F.col("part_"))
+                    out[c][side] = F.coalesce(out[c][side], given)
+        return df, out
+
+    def value(self, c: str, before: Column, after: Column) -> Column:
+        raise NotImplementedError
+
+    def _transform(self, df):
+        named = [q(c) for c in df.columns]
+        placed, seen = self.around(df)
+        placed = placed.withColumns({f"{k}{i}_": x for i, own in enumerate(seen.values()) for k, x in zip(("before", "after"), own)})
+        return placed.withColumns({c: self.value(c, F.col(f"before{i}_"), F.col(f"after{i}_")) for i, c in enumerate(seen)}).select(*named)
 
 
 class FillNoneForward(_Ordered):
     category = "missing"
 
-    def _transform(self, df):
-        w = self.window(df).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(q(c), ignorenulls=True).over(w) for c in self.columns})
+    def value(self, c, before, after):
+        return before["v"]
 
 
 class FillNoneBackward(_Ordered):
     category = "missing"
 
-    def _transform(self, df):
-        w = self.window(df).rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumns({c: F.first(q(c), ignorenulls=True).over(w) for c in self.columns})
+    def value(self, c, before, after):
+        return after["v"]
 
 
 class FillNoneInterpolation(_Ordered):
@@ -294,17 +338,9 @@ class FillNoneInterpolation(_Ordered):
 
     category, feature = "missing", Feature.NUMERIC
 
-    def _transform(self, df):
-        w = self.window(df)
-        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        df = df.withColumn("place_", F.row_number().over(w))
-        new = {}
-        for c in self.columns:
-            at = F.when(q(c).isNotNull(), F.col("place_"))
-            a, b = F.last(q(c), ignorenulls=True).over(back).cast("double"), F.first(q(c), ignorenulls=True).over(ahead).cast("double")
-            i, j = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
-            new[c] = F.when(q(c).isNotNull(), q(c).cast("double")).otherwise(a + (b - a) * (F.col("place_") - i) / F.nullif(j - i, F.lit(0)))
-        return df.withColumns(new).drop("place_")
+    def value(self, c, before, after):
+        a, b, i, j = before["v"].cast("double"), after["v"].cast("double"), before["at"], after["at"]
+        return F.when(q(c).isNotNull(), q(c).cast("double")).otherwise(a + (b - a) * (F.col("place_") - i) / F.nullif(j - i, F.lit(0)))
 
 
 class FillNoneMode(_Each):
@@ -345,11 +381,24 @@ class AggregateDuplicates(Stage):
         return df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("duplicate_count"))
 
 
+#: Distinct values of a column that the driver holds, and that become columns.
+MOST_VALUES = 10_000
+#: Distinct values that an expression looks a value up in; beyond them it is joined.
+FEW_VALUES = 256
+
+
 class _Distinct(Stage):
     feature = Feature.CATEGORICAL
 
+    def _number(self, df, columns):
+        """Distinct values by column, null included."""
+        got = stats(df, **{f"{i}{k}": f for i, c in enumerate(columns) for k, f in (("n", F.count_distinct(q(c))), ("z", F.max(q(c).isNull().cast("int"))))})
+        return {c: got[f"{i}n"] + (got[f"{i}z"] or 0) for i, c in enumerate(columns)}
+
     def _values(self, df, columns):
         """Distinct values by column (null included), in order; for columns of few values."""
+        if large := [c for c, n in self._number(df, columns).items() if n > MOST_VALUES]:
+            raise errors.FitError(f"{large} have more than {MOST_VALUES} values; a hash or codes suit them")
         rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), q(c).alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*").distinct().collect()
         out = {c: [] for c in columns}
         for i, v in rows:
@@ -385,8 +434,8 @@ class EncodeOneHotOrHash(_Distinct):
     domains = {"max_values_1hot": Domain(20, 1, 1_000_000)}
 
     def _fit(self, df, columns):
-        got = stats(df, **{str(i): F.count_distinct(q(c)) + F.max(q(c).isNull().cast("int")) for i, c in enumerate(columns)})
-        few = [c for i, c in enumerate(columns) if (got[str(i)] or 0) <= self.params["max_values_1hot"]]
+        number = self._number(df, columns)
+        few = [c for c in columns if number[c] <= self.params["max_values_1hot"]]
         self.values = self._values(df, few) if few else {}
         self.hashed = [c for c in columns if c not in few]
 
@@ -395,27 +444,54 @@ class EncodeOneHotOrHash(_Distinct):
 
 
 class EncodeInt(_Distinct):
-    """Values to their place in order; null stays, unseen values are -1. The inverse names unknown codes."""
+    """Values to their place in order; null stays, unseen values are -1. The inverse names unknown codes.
+
+    Few values are looked up in an expression, more are joined from a broadcast table, and codes of a column of more
+    than MOST_VALUES values stay in the shared folder.
+    """
 
     category, with_target = "encoding", True
 
     def _fit(self, df, columns):
-        self.values = {c: [v for v in own if v is not None] for c, own in self._values(df, columns).items()}
+        number = self._number(df, columns)
+        small = [c for c in columns if number[c] <= MOST_VALUES]
+        self.values = {c: [v for v in own if v is not None] for c, own in self._values(df, small).items()} if small else {}
+        self.tables = {}
+        for c in columns:
+            if c not in self.values:
+                values = numbered(df.select(q(c).alias("value_")).where("value_ IS NOT NULL").distinct(), [F.col("value_")])
+                self.tables[c] = f"{shared_dir(df.sparkSession)}/codes-{uuid.uuid4().hex}"
+                values.select("value_", F.col("place_").alias("code_")).write.parquet(self.tables[c])
+
+    def _codes(self, df, c):
+        if c in self.tables:
+            return df.sparkSession.read.schema("value_ string, code_ bigint").parquet(self.tables[c])
+        return F.broadcast(df.sparkSession.createDataFrame(list(zip(self.values[c], range(len(self.values[c])))), "value_ string, code_ bigint"))
+
+    def _joined(self, df, here: str, there: str, found):
+        """df with the columns of many values replaced by what their codes give."""
+        for c in self.columns:
+            if c in df.columns and len(self.values.get(c, range(FEW_VALUES + 1))) > FEW_VALUES:
+                names = df.columns
+                both = df.join(self._codes(df, c), q(c).cast(here) == F.col(there), "left")
+                df = both.select(*[found(c).alias(c) if a == c else q(a) for a in names])
+        return df
+
+    def _few(self, df):
+        return {c: own for c, own in self.values.items() if c in df.columns and len(own) <= FEW_VALUES}
 
     def _transform(self, df):
         new = {}
-        for c, own in self.values.items():
-            if c in df.columns:
-                place = F.array_position(F.array(*map(F.lit, own)), q(c)).cast("bigint") - 1 if own else F.lit(-1).cast("bigint")
-                new[c] = F.when(q(c).isNotNull(), place)
-        return df.withColumns(new)
+        for c, own in self._few(df).items():
+            place = F.array_position(F.array(*map(F.lit, own)), q(c)).cast("bigint") - 1 if own else F.lit(-1).cast("bigint")
+            new[c] = F.when(q(c).isNotNull(), place)
+        return self._joined(df.withColumns(new), "string", "value_", lambda c: F.when(q(c).isNotNull(), F.coalesce("code_", F.lit(-1)).cast("bigint")))
 
     def _inverse(self, df):
         new = {}
-        for c, own in self.values.items():
-            if c in df.columns:
-                new[c] = F.when(q(c).isNotNull(), F.coalesce(F.when(q(c) >= 0, F.get(F.array(*map(F.lit, own)), q(c).cast("int"))), F.lit("unknown_label"))) if own else F.lit("unknown_label")
-        return df.withColumns(new)
+        for c, own in self._few(df).items():
+            new[c] = F.when(q(c).isNotNull(), F.coalesce(F.when(q(c) >= 0, F.get(F.array(*map(F.lit, own)), q(c).cast("int"))), F.lit("unknown_label"))) if own else F.lit("unknown_label")
+        return self._joined(df.withColumns(new), "bigint", "code_", lambda c: F.when(q(c).isNotNull(), F.coalesce("value_", F.lit("unknown_label"))))
 
 
 class EncodeIntTarget(EncodeInt):

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.core import Domain, Feature, Stage
-from tabloom.functions import average_ranks, clean, stats
+from tabloom.functions import average_ranks, clean, linear_quantiles, stats
+from tabloom.functions.storage import shared_table
 from tabloom.operators.basic import _KeepColumns, q
 
 
@@ -104,35 +105,75 @@ class SelectUnivariateChi2(_SelectBest):
         return out
 
 
+def discordant(y: np.ndarray, w: np.ndarray) -> int:
+    """Weight of the pairs in which an earlier row has the larger y; by the highest bit in which ranks differ."""
+    rank = np.unique(y, return_inverse=True)[1]
+    total, order = 0, np.arange(len(rank))
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        one, group = rank[order] >> bit & 1, rank[order] >> (bit + 1)
+        own = w[order]
+        ones = np.cumsum(own * one)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+        base = np.repeat((ones - own * one)[first], np.diff(first, append=len(group)))
+        total += int(((ones - base) * own * (1 - one)).sum())
+        order = order[np.argsort(rank[order] >> bit, kind="stable")]
+    return total
+
+
 class SelectUnivariateKendall(_SelectBest):
-    """Kendall's tau-b on a grid: values fall into at most `cells` classes of equal counts each way, whose table (at
-    most cells squared rows) decides concordance. Exact while a column has no more distinct values than cells."""
+    """Kendall's tau-b, exact. Pairs of values are counted, dealt by ranges of x and by ranges of y: pairs of rows of
+    different ranges both ways are settled by the table of counts of both ranges, those of one range of x by the task
+    that has it, and those of one range of y but not of x by the task that has that one. Ranges have about `range_rows`
+    pairs of values; a value on which ranges meet is a range of its own, which has only ties and is not looked at."""
 
     category, needs_target = "selection", Feature.NUMERIC
-    cells = 256
+    range_rows = 200_000
+    most_ranges = 1024
 
     def scores(self, df, columns):
-        names, out = [*columns, self.target], {}
-        cuts = stats(df, **{str(i): F.percentile_approx(clean(c, df), F.array(*[F.lit(k / self.cells) for k in range(1, self.cells)]), F.lit(100000)) for i, c in enumerate(names)})
-
-        def cell(i):
-            marks = sorted(set(cuts[str(i)] or []))
-            return F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < clean(names[i], df))) if marks else F.lit(0)
-
-        binned = df.select(*[cell(i).alias(f"b{i}") for i in range(len(names))])
-        for i, c in enumerate(columns):
-            rows = binned.groupBy(f"b{i}", f"b{len(columns)}").count().collect()
-            t = np.zeros((self.cells + 1, self.cells + 1))
-            for a, b, n in rows:
-                t[a, b] = n
-            after = t[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
-            up = t[::-1].cumsum(0).cumsum(1)[::-1]
-            concordant = (t[:-1, :-1] * after[1:, 1:]).sum()
-            discordant = (t[:-1, 1:] * up[1:, :-1]).sum()
-            n, x, y = t.sum(), t.sum(1), t.sum(0)
-            pairs = [n * (n - 1) / 2 - (v * (v - 1) / 2).sum() for v in (x, y)]
-            out[c] = (concordant - discordant) / np.sqrt(pairs[0] * pairs[1]) if min(pairs) > 0 else float("nan")
-        return out
+        return {c: self.tau(df, c) for c in columns}
+
+    def tau(self, df, c):
+        xy = df.select(clean(c, df).alias("x"), clean(self.target, df).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+        cells = shared_table(xy.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
+        n, rows = cells.agg(F.sum("w"), F.count(F.lit(1))).first()
+        if not rows or n < 2:
+            return float("nan")
+        ties = [cells.groupBy(*by).agg(F.sum("w").alias("w")).agg(F.sum(F.col("w").cast("double") * (F.col("w") - 1) / 2)).first()[0] for by in (["x"], ["y"], ["x", "y"])]
+        k = max(2, min(self.most_ranges, -(-rows // self.range_rows)))
+        cuts = {a: sorted(set(cells.approxQuantile(a, [i / k for i in range(1, k)], 0.2 / k))) for a in "xy"}
+
+
+        def at(a: str) -> Column:
+            marks = F.array(*map(F.lit, cuts[a]))
+            return 2 * F.size(F.filter(marks, lambda m: m < F.col(a))) + F.array_contains(marks, F.col(a)).cast("int") if cuts[a] else F.lit(0)
+
+        dealt = shared_table(cells.withColumns({f"b{a}": at(a) for a in "xy"}), "dealt")
+        t = np.zeros((2 * k + 1, 2 * k + 1))
+        for a, b, w in dealt.groupBy("bx", "by").agg(F.sum("w")).collect():  # at most ranges squared
+            t[a, b] = w
+        right = t[:, ::-1].cumsum(1)[:, ::-1]
+        before = right.cumsum(0)
+        apart = sum(float((t[i, :-1] * before[i - 1, 1:]).sum()) for i in range(1, len(t)))  # earlier range of x, later one of y
+        same_x = dealt.where("bx % 2 = 0").groupBy("bx").applyInPandas(lambda f: _settle(f, None), "d long").agg(F.sum("d")).first()[0] or 0
+        same_y = dealt.where("by % 2 = 0").groupBy("by").applyInPandas(lambda f: _settle(f, "bx"), "d long").agg(F.sum("d")).first()[0] or 0
+        pairs, against = n * (n - 1) / 2, apart + same_x + same_y
+        left, other = pairs - ties[0], pairs - ties[1]
+        concordant = pairs - ties[0] - ties[1] + ties[2] - against
+        return (concordant - against) / (left * other) ** 0.5 if left > 0 and other > 0 else float("nan")
+
+
+def _settle(frame, apart: str | None):
+    """Discordant weight among the rows of a frame; of rows with different `apart` only, if it is given."""
+    import pandas as pd
+
+    frame = frame.sort_values(["x", "y"])
+    y, w = frame["y"].to_numpy(), frame["w"].to_numpy()
+    total = discordant(y, w)
+    if apart:
+        for _, part in frame.groupby(apart):
+            total -= discordant(part["y"].to_numpy(), part["w"].to_numpy())
+    return pd.DataFrame({"d": [total]})
 
 
 class _MutualInformation(_SelectBest):
@@ -143,11 +184,10 @@ class _MutualInformation(_SelectBest):
 
     def scores(self, df, columns):
         names = columns if self.classes else [*columns, self.target]
-        at = F.array(*[F.lit(k / self.cells) for k in range(1, self.cells)])
-        cuts = stats(df, **{str(i): F.percentile_approx(clean(c, df), at, F.lit(10000)) for i, c in enumerate(names)})
+        cuts = linear_quantiles(df, names, [k / self.cells for k in range(1, self.cells)])
 
         def cell(i: int) -> Column:
-            marks = sorted(set(cuts[str(i)] or []))
+            marks = sorted(set(cuts[names[i]]))
             return F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < clean(names[i], df))) if marks else F.lit(0)
 
         y = q(self.target) if self.classes else cell(len(columns))
@@ -222,6 +262,8 @@ def moments(df: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.nd
 
 def signed(vectors: np.ndarray) -> np.ndarray:
     """Columns turned so that their largest loading is positive."""
+    if not vectors.size:
+        return vectors
     return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
 
 

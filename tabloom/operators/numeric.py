@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.core import TEMPORALS, Domain, Feature, Role, Stage
-from tabloom.functions import clean, nearest_quantiles, safe_div, stats, upper_break
+from tabloom.functions import clean, linear_quantiles, nearest_quantiles, safe_div, stats, upper_break
 from tabloom.operators.basic import _Each, q
 
 
@@ -75,11 +75,11 @@ class RemoveOutliersEllipticEnvelope(Stage):
 
         far = distance(*moments(live))
         for _ in range(int(self.params["steps"])):
-            half = live.select(far.alias("m")).approxQuantile("m", [0.5], 1e-3)
+            half = linear_quantiles(live.select(far.alias("m")), ["m"], [0.5])["m"]
             if not half:
                 break
             far = distance(*moments(live.where(far <= half[0])))
-        cut = live.select(far.alias("m")).approxQuantile("m", [1 - self.params["contamination"]], 1e-4)
+        cut = linear_quantiles(live.select(far.alias("m")), ["m"], [1 - self.params["contamination"]])["m"]
         return live.where(far <= cut[0]) if cut else live
 
 
@@ -116,9 +116,8 @@ class ScaleRobust(_Scale):
     category = "scaling"
 
     def _fit(self, df, columns):
-        mid = stats(df, **{str(i): F.median(clean(c, df)) for i, c in enumerate(columns)})
-        quarters = nearest_quantiles(df, columns, [0.25, 0.75])
-        self.numbers = {c: (mid[str(i)], None if quarters[c][0] is None else quarters[c][1] - quarters[c][0]) for i, c in enumerate(columns)}
+        mid, quarters = linear_quantiles(df, columns, [0.5]), nearest_quantiles(df, columns, [0.25, 0.75])
+        self.numbers = {c: (None, None) if quarters[c][0] is None else (mid[c][0], quarters[c][1] - quarters[c][0]) for c in columns}
 
 
 class QuantileTransform(_Each):
@@ -130,9 +129,7 @@ class QuantileTransform(_Each):
     def _fit(self, df, columns):
         rows = stats(df, n=F.count(F.lit(1)))["n"]
         n = max(2, min(int(self.params["n_quantiles"]), rows))
-        at = [i / (n - 1) for i in range(n)]
-        got = stats(df, **{str(i): F.percentile(clean(c, df), F.array(*map(F.lit, at))) for i, c in enumerate(columns)})
-        self.landmarks = {c: got[str(i)] for i, c in enumerate(columns)}
+        self.landmarks = linear_quantiles(df, columns, [i / (n - 1) for i in range(n)])
 
     def expr(self, c, kind):
         marks = self.landmarks[c]
@@ -184,6 +181,8 @@ class TemporalExpand(Stage):
             kind, x = df.schema[c].dataType, q(c)
             if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
                 new |= {f"{c}_year": F.year(x), f"{c}_month": F.month(x), f"{c}_day": F.dayofmonth(x), f"{c}_weekday": F.weekday(x) + 1, f"{c}_ordinal_day": F.dayofyear(x)}
+            if type(kind).__name__ == "TimeType":
+                new |= {f"{c}_hour": F.hour(x), f"{c}_minute": F.minute(x), f"{c}_second": F.second(x), f"{c}_millisecond": F.pmod(F.floor(F.extract(F.lit("SECOND"), x) * 1000), F.lit(1000)).cast("int")}
             if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
                 new |= {f"{c}_hour": F.hour(x), f"{c}_minute": F.minute(x), f"{c}_second": F.second(x), f"{c}_millisecond": F.pmod(F.unix_millis(x.cast("timestamp")), F.lit(1000)).cast("int")}
         return df.withColumns(new)
@@ -213,9 +212,7 @@ class DiscretizeQuantile(_Discretize):
 
     def _fit(self, df, columns):
         n = int(self.params["bin_count"])
-        at = F.array(*[F.lit(k / n) for k in range(1, n)])
-        got = stats(df, **{str(i): F.percentile(clean(c, df), at) for i, c in enumerate(columns)})
-        self.breaks = {c: sorted(set(got[str(i)] or [])) for i, c in enumerate(columns)}
+        self.breaks = {c: sorted(set(own)) for c, own in linear_quantiles(df, columns, [k / n for k in range(1, n)]).items()}
 
 
 class DiscretizeKMeans(_Discretize):

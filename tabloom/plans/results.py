@@ -28,6 +28,66 @@ def parse_log(spark, path: str) -> DataFrame:
     return rows.select("i_dataset", "n_rows", "n_cols", "task", "repeat", "fold", F.col("cell")["eval_metric"].alias("metric"), "pipeline", "train_prep_time", "fit_models_time", "test_prep_time", "eval_models_time", F.col("cell")["model"].alias("model"), number("score_test").alias("score"), number("pred_time_test").alias("pred_time"), number("fit_time").alias("fit_time"), extra.alias("extra_metric"), F.try_element_at("cell", extra).try_cast("double").alias("extra_score"), number("accuracy").alias("accuracy_score"), number("balanced_accuracy").alias("balanced_accuracy_score"))
 
 
+#: Names of models as they are logged, and as they are listed, in order of kind.
+MODEL_NAMES = {
+    "LinearModel": "a_LinearModel",
+    "KNeighbors": "b_KNeighbors",
+    "RandomForest": "c_RandomForest",
+    "ExtraTrees": "d_ExtraTrees",
+    "XGBoost": "e_XGBoost",
+    "LightGBM": "f_LightGBM",
+    "CatBoost": "g_CatBoost",
+    "NeuralNetFastAI": "h_NeuralNetFastAI",
+    "TabM": "i_TabM",
+    "TabDPT": "j_TabDPT",
+    "RealTabPFN-v2.5": "k_RealTabPFN-v2.5",
+}
+#: Kinds of models by listed name.
+TREES = ["c_RandomForest", "d_ExtraTrees", "e_XGBoost", "f_LightGBM", "g_CatBoost"]
+NETWORKS = ["h_NeuralNetFastAI", "i_TabM"]
+FOUNDATION = ["j_TabDPT", "k_RealTabPFN-v2.5"]
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """Models by their listed names; other names stay."""
+    names = F.create_map(*[F.lit(x) for pair in MODEL_NAMES.items() for x in pair])
+    return df.withColumn("model", F.coalesce(F.try_element_at(names, F.col("model")), F.col("model")))
+
+
+def performance(df: DataFrame) -> DataFrame:
+    """The columns that analytics need, in order of dataset, pipeline and model."""
+    own = ["i_dataset", "task", "metric", "extra_metric", "pipeline", "model", "score", "score_std", "extra_score", "extra_score_std", "accuracy_score", "balanced_accuracy_score"]
+    return df.select(*own).orderBy("i_dataset", "pipeline", "model")
+
+
+def by_metric(df: DataFrame) -> DataFrame:
+    """A row for each of both accuracies of a classification result."""
+    both = df.where(F.col("task").isin("binary", "multiclass")).withColumnsRenamed({"accuracy_score": "accuracy", "balanced_accuracy_score": "balanced_accuracy"})
+    return both.unpivot(["i_dataset", "model", "pipeline"], ["accuracy", "balanced_accuracy"], "acc_metric", "acc_score")
+
+
+def ratios(df: DataFrame, score: str = "extra_score") -> DataFrame:
+    """Seven whole percentages, of a frame with listed models: results without preparation that failed; pairs of
+    dataset and model that the best preparation betters; datasets won without preparation by trees and by one of them,
+    and with the best by foundation models, by one of them, and by networks."""
+    own = F.when(~F.isnan(score), F.col(score))
+    none, basic = F.col("pipeline") == "1_No_prep", F.col("pipeline") == "2_Basic"
+    pairs = df.groupBy("i_dataset", "model").agg(F.count_if(none).alias("tried"), F.count_if(none & own.isNull()).alias("failed"), F.coalesce(F.max(F.when(none, own)), F.max(F.when(basic, own))).alias("minimal"), F.max(F.when(none, own)).alias("no_prep"), F.coalesce(F.max(own), F.lit(0.0)).alias("best"))
+    won = lambda c: F.min_by("model", F.when(F.col(c) > 0, F.struct(-F.col(c), "model")))
+    datasets = pairs.groupBy("i_dataset").agg(F.sum("tried").alias("tried"), F.sum("failed").alias("failed"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("best") > F.col("minimal")).alias("gained"), won("no_prep").alias("plain"), won("best").alias("top"))
+    share = lambda a, b: F.round(F.try_divide(a * 100.0, b)).cast("int")
+    n = F.count(F.lit(1))
+    return datasets.agg(
+        share(F.sum("failed"), F.sum("tried")).alias("no_prep_failed"),
+        share(F.sum("gained"), F.sum("pairs")).alias("best_gains"),
+        share(F.count_if(F.col("plain").isin(TREES)), n).alias("no_prep_tree_wins"),
+        share(F.count_if(F.col("plain") == "g_CatBoost"), n).alias("no_prep_catboost_wins"),
+        share(F.count_if(F.col("top").isin(FOUNDATION)), n).alias("best_foundation_wins"),
+        share(F.count_if(F.col("top") == "k_RealTabPFN-v2.5"), n).alias("best_tabpfn_wins"),
+        share(F.count_if(F.col("top").isin(NETWORKS)), n).alias("best_network_wins"),
+    )
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """AUC to 2 AUC - 1; scores below 0 to 0, null stays null."""
     def floor(c):

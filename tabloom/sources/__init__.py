@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom import errors
+from tabloom.functions.storage import numbered
 
 
 def _session(spark: SparkSession | None) -> SparkSession:
@@ -41,6 +42,18 @@ def images(path: str, extension: str = "png", spark: SparkSession | None = None)
     return data.select("path", *[F.coalesce(F.get("pixels", i), F.lit(0)).alias(f"column_{i}") for i in range(widest)])
 
 
+def beside(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Columns of both frames, rows paired by their place in the given orders; the longer one's last rows get nulls.
+
+    Places are numbered by ranges, so no task sees a whole frame.
+    """
+    if taken := set(left.columns) & set(right.columns):
+        raise errors.UnsupportedFormatError(f"both frames have {sorted(taken)}")
+    left_placed, right_placed = (numbered(df, [F.col(f"`{c}`") for c in order]).drop("part_") for df, order in ((left, left_order), (right, right_order)))
+    both = left_placed.join(right_placed, "place_", "full")
+    return both.select(*[F.col(f"`{c}`") for c in [*left.columns, *right.columns]])
+
+
 def save(df: DataFrame, path: str, format: str = "parquet") -> None:
     if format not in ("csv", "parquet", "json"):
         raise errors.UnsupportedFormatError(format)
@@ -48,6 +61,17 @@ def save(df: DataFrame, path: str, format: str = "parquet") -> None:
     writer.csv(path, header=True) if format == "csv" else getattr(writer, format)(path)
 
 
+def to_pandas(df: DataFrame):
+    """The frame on the driver, strings as categories."""
+    out = df.toPandas()
+    return out.astype({f.name: "category" for f in df.schema if f.dataType.simpleString() == "string"})
+
+
+def show(df: DataFrame, rows: int = 20, width: int = 0) -> str:
+    """A printed frame; width 0 cuts no value."""
+    return df._show_string(rows, width or False, False)
+
+
 def to_dict(df: DataFrame) -> dict:
     return df.toPandas().to_dict("list")
 
