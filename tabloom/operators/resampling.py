@@ -257,6 +257,7 @@ class _Neighbours(_Resample):
     """Keeps rows by what their neighbours are; batches of rows meet all rows, block by block."""
 
     domains = {"n_neighbors": Domain(5, 2, 100)}
+    whole = None  # the class that loses no row, if not the smallest
 
     def keep(self, x, y, own, refs, keys, labels, smallest, k):
         raise NotImplementedError
@@ -265,7 +266,7 @@ class _Neighbours(_Resample):
         n, columns = self.counts(df), self.numbers(df)
         if not n or not columns:
             return df
-        smallest = min(n, key=lambda c: (n[c], str(c)))
+        smallest = self.whole if self.whole is not None else min(n, key=lambda c: (n[c], str(c)))
         x, carried, keys = references(df.where(q(self.target).isNotNull()), columns, [self.target])
         sc = df.sparkSession.sparkContext
         refs, known = Blocks(sc, x), sc.broadcast((keys, np.array([r[0] for r in carried], dtype=object)))
@@ -341,7 +342,7 @@ class UndersampleOSS(_Resample):
             return pd.Series(out)
 
         tomek = UndersampleTomekLinks()
-        tomek.columns, tomek.target = self.columns, target
+        tomek.columns, tomek.target, tomek.whole = self.columns, target, smallest
         return tomek._transform(df.where(kept(vector(columns), q(target), key)))
 
 
