@@ -20,11 +20,49 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folders that shared_path has given out, by application.
+_GIVEN: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What is read stays until clear() or release(), as results are lazy.
+    """
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path_ = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete what shared_table wrote, once nothing reads it any more."""
+    path = getattr(table, "shared_path_", None)
+    given = _GIVEN.get(table.sparkSession.sparkContext.applicationId, [])
+    if path in given:
+        given.remove(path)
+        _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that this application has written so and not released; for when its results have been consumed."""
+    given = _GIVEN.pop(spark.sparkContext.applicationId, [])
+    for path in given:
+        _delete(spark, path)
+    return len(given)
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:

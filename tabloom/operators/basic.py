@@ -460,7 +460,7 @@ class EncodeInt(_Distinct):
         for c in columns:
             if c not in self.values:
                 values = numbered(df.select(q(c).alias("value_")).where("value_ IS NOT NULL").distinct(), [F.col("value_")])
-                self.tables[c] = f"{shared_dir(df.sparkSession)}/codes-{uuid.uuid4().hex}"
+                self.tables[c] = f"{shared_dir(df.sparkSession)}/codes-{uuid.uuid4().hex}"  # stays as long as the stage is used
                 values.select("value_", F.col("place_").alias("code_")).write.parquet(self.tables[c])
 
     def _codes(self, df, c):

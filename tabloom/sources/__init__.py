@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,22 @@ def show(df: DataFrame, rows: int = 20, width: int = 0) -> str:
     return df._show_string(rows, width or False, False)
 
 
+def make_folder(path: str) -> str:
+    """A folder of the driver, made if it is not there."""
+    pathlib.Path(path).mkdir(parents=True, exist_ok=True)
+    return path
+
+
+def clear_folder(path: str) -> str:
+    """The folder, with nothing in it."""
+    remove_folder(path)
+    return make_folder(path)
+
+
+def remove_folder(path: str) -> None:
+    shutil.rmtree(path, ignore_errors=True)
+
+
 def to_dict(df: DataFrame) -> dict:
     return df.toPandas().to_dict("list")
 

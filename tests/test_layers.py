@@ -109,6 +109,22 @@ def test_sources(spark, tmp_path):
         sources.beside(df, df, ["a"], ["a"])
 
 
+def test_folders_and_shared_tables(spark, tmp_path):
+    from tabloom.functions import storage
+
+    folder = sources.make_folder(f"{tmp_path}/a/b")
+    (tmp_path / "a" / "b" / "x").write_text("1")
+    assert sources.clear_folder(folder) == folder and not list((tmp_path / "a" / "b").iterdir())
+    sources.remove_folder(folder)
+    assert not (tmp_path / "a" / "b").exists()
+    one, two = (storage.shared_table(spark.range(n), "t") for n in (3, 4))
+    storage.release(one)
+    assert two.count() == 4
+    with pytest.raises(Exception, match="not|exist"):
+        one.count()
+    assert storage.clear(spark) >= 1 and storage.clear(spark) == 0
+
+
 def test_profile_text(table):
     said = Profile(Dataset(table, target="y")).text()
     assert all(f"{t}\n" in said for t in ("shape", "types", "missing_values", "duplicates", "numeric_stats", "categorical_stats", "cols_w_outliers", "imbalanced_target", "summary"))
