@@ -1,15 +1,15 @@
-"""What the corpus operators share: shared-folder tables, byte-level text access, fold rules."""
+"""What the corpus operators share: byte-level text access, samples, fold rules; tables of the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions.storage import release, shared_dir, shared_path, shared_table  # noqa: F401
+
 #: Bytes that separate words: [\x20\x09-\x0D].
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch.
@@ -21,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tabloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)), F.lit(0))

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import chunks, map_arrow, ragged, shared_dir, split
+from tabloom.llm._base import chunks, map_arrow, ragged, shared_path, split
 
 FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int, sequence binary, rules binary, lengths binary, doc_ids binary, doc_null binary, doc_tokens binary"
 
@@ -375,6 +374,6 @@ def read(spark, path: str) -> DataFrame:
 
 def query(docs: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = shared_path(spark, "token-ids")
     write(docs, path, params)
     return read(spark, path)
