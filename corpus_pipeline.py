@@ -1,16 +1,19 @@
 """A corpus in five stages: toxicity, near-duplicates, benchmark passages, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+
+Edge cases, as the operators state them: null and empty texts are not toxic, hold no phrase and are near-duplicates of
+each other, so one of them stays until the mix, which takes documents without words no times; very long texts are read
+whole; of repeated rows one stays; unlike texts of one id or of none stay each; a null source is one source; a table
+without rows passes every stage; columns of any other name go along unchanged up to the last stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import decontaminate, mixing, simhash, tokenids, toxicity
-from tabloom.llm._base import shared_dir, table
+from tabloom.llm._base import shared_path, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +49,13 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Fingerprints, fitted models and ids of a tokenizer have no SQL; tests/llm compares with brute force.
+#: Fingerprints, fitted models and ids of a tokenizer have no SQL; tests/llm compares every stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
