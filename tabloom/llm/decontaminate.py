@@ -6,9 +6,11 @@ at once; occurrences are located by walking to sampled suffix positions, and bec
 
 Stretches of words that are shorter than every test phrase can hold no occurrence and are left out of the index.
 
-Edge cases: null and empty texts have no words; an item without words has no phrase; repeated items each count;
-a document longer than a shard is indexed in pieces that overlap by one word less than the longest phrase;
-an empty benchmark leaves every document clean. A benchmark over block_words is searched block by block.
+Edge cases: null and empty texts have no words; an item without words has no phrase; items of one id count as one
+item, and a phrase of several items counts for each; a document longer than a shard is indexed in pieces that overlap
+by one word less than the longest phrase, so very long texts are searched whole; repeated rows get equal results; an
+empty benchmark leaves every document clean, and a table without rows gives none. A benchmark over block_words is
+searched block by block. Columns of any other name stay.
 """
 
 from __future__ import annotations

@@ -33,13 +33,14 @@ from tabloom.llm._base import bounded_texts, chunks, fold, shared_table, split,
 @dataclass(frozen=True)
 class LMParams:
     """classes: classes, and items of a class; buckets: items for words beyond the vocabulary; lookup: most words
-    that are broadcast; dim, context: size and number of the context vectors; noise: noise samples of a token
+    that are broadcast, none over lookup_bytes bytes; dim, context: size and number of the context vectors; noise: noise samples of a token
     (classes, items); warm_docs, warm_bytes: bound of the warm-up sample, in rows and in bytes of their texts;
     warm_text_bytes: a longer text is represented in it by passages."""
 
     classes: int = 64
     buckets: int = 256
     lookup: int = 100_000
+    lookup_bytes: int = 256
     dim: int = 16
     context: int = 3
     noise: tuple[int, int] = (16, 3)
@@ -49,6 +50,7 @@ class LMParams:
     warm_bytes: int = 8_000_000
     warm_text_bytes: int = 100_000
     flush_words: int = 600_000
+    flush_bytes: int = 1 << 26
 
 
 def _bucket(word: bytes, params: LMParams) -> int:
@@ -238,6 +240,7 @@ def count_words(training: DataFrame, params: LMParams) -> DataFrame:
         from tabloom.llm._base import byte_texts
 
         counts: Counter = Counter()
+        seen = 0  # bytes of texts since the last table
 
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -245,9 +248,11 @@ def count_words(training: DataFrame, params: LMParams) -> DataFrame:
         for batch in batches:
             for text in byte_texts(batch.column(0)):
                 counts.update(text.lower().split())  # the same words as those of split()
-                if len(counts) > params.flush_words:
+                seen += len(text)
+                if len(counts) > params.flush_words or seen > params.flush_bytes:
                     yield emit()
                     counts.clear()
+                    seen = 0
         if counts:
             yield emit()
 
@@ -279,6 +284,11 @@ def _bucket_sums(counts: DataFrame, lexicon, params: LMParams) -> tuple[np.ndarr
     return total, distinct
 
 
+def _short(params: LMParams):
+    """Of words that may be broadcast."""
+    return F.octet_length("word") <= params.lookup_bytes
+
+
 def fit(training: DataFrame, params: LMParams):
     """(counts table, broadcast lexicon, broadcast model, N, V, texts, log10 of each bucket's own denominator)."""
     spark = training.sparkSession
@@ -292,7 +302,7 @@ def fit(training: DataFrame, params: LMParams):
             held, least = held + r["words"], r["n"]
         else:
             held = None
-    frequent = counts.where(F.col("n") >= (least or 0)).collect() if least is not None else []
+    frequent = counts.where((F.col("n") >= (least or 0)) & _short(params)).collect() if least is not None else []
     frequent = sorted(((bytes(r[0]), r[1]) for r in frequent), key=lambda x: (-x[1], x[0]))
     lexicon = Lexicon(frequent, params)
     shared = spark.sparkContext.broadcast(lexicon)
@@ -399,7 +409,7 @@ def score(docs: DataFrame, training: DataFrame, params: LMParams = LMParams()) -
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
     scored = shared_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "lm-scores")
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
-    below = counts if least is None else counts.where(F.col("n") < least)
+    below = counts if least is None else counts.where((F.col("n") < least) | ~_short(params))
     joined = rare.join(below, "word").groupBy("row").agg(F.sum("times").alias("known_"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_"))
     out = scored.drop("rare").join(joined, "row", "left")
     more = F.coalesce("more_", F.lit(0.0))

@@ -576,7 +576,8 @@ def plain_base(rows):
 @pytest.mark.parametrize("lookup", [100_000, 50])
 def test_lm_scores(docs, rows, lookup):
     want = plain_base([(i, t) for i, t, _, _ in rows])
-    out = got(lmscore.query(docs, lmscore.LMParams(lookup=lookup)))
+    params = lmscore.LMParams(lookup=lookup) if lookup > 50 else lmscore.LMParams(lookup=lookup, lookup_bytes=2, flush_bytes=5000)
+    out = got(lmscore.query(docs, params))
     assert len(out) == len(rows)
     for r in out:
         held, n, known, total, base = want[r["doc_id"]]
