@@ -31,7 +31,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+#: Slow ones without SQL, whose operators tests/test_detection.py covers on smaller frames.
+SLOW = {"dim_tsne", "dim_umap", "undersample_iht", "outliers_isolation_forest", "outliers_one_class_svm"}
+
+
+@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in SLOW])
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     data = [tuple(r) for r in df.collect()]
