@@ -256,7 +256,7 @@ def _rooted(first: DataFrame) -> DataFrame:
     """first (fp, ... one row for each fingerprint) with root, the least fingerprint that links lead to."""
     # Key bits are compared on both sides by value; keys are dealt and sorted by Spark, which spills.
     parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many: not to be coalesced
-    given = first.select("fp").repartition(parts, "fp")
+    given = first.select("fp").repartition(parts)
     dealt = map_arrow(given, _expand, "key long, fp long, own boolean").repartition("key").sortWithinPartitions("key")
     roots = components(map_arrow(dealt, _match, "u long, v long")).select(F.col("node").alias("fp"), "root")
     return first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
