@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.storage import by_part, numbered
+from tabloom.functions.storage import by_part, numbered, release, shared_table
 
 
 def clean(c: str, df: DataFrame) -> Column:
@@ -30,9 +30,17 @@ def stats(df: DataFrame, **exprs: Column) -> dict:
 def values_at(df: DataFrame, c: str, wanted) -> tuple[int, dict[int, float]]:
     """(number of values of column c, those at some places in sorted order); wanted: gives the places for the number.
 
-    The column is counted by value and ranked by running counts over value ranges, so that no task sorts it whole.
+    The column is counted by value and ranked by running counts over value ranges, so that no task sorts it whole. The
+    counts are written, so that a computed column is computed once and not in each comparison with a range's bound.
     """
-    counts = df.select(clean(c, df).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = shared_table(df.select(clean(c, df).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    try:
+        return _values_at(counts, wanted)
+    finally:
+        release(counts)
+
+
+def _values_at(counts: DataFrame, wanted) -> tuple[int, dict[int, float]]:
     cuts = sorted({float(x) for x in counts.approxQuantile("v", [i / 32 for i in range(1, 32)], 0.01)})
     bucket = reduce(lambda acc, x: acc + (F.col("v") > x).cast("int"), cuts, F.lit(0))
     dealt = counts.withColumn("bucket", bucket)

@@ -52,6 +52,19 @@ def test_quantiles(spark):
     assert near["v"] == [s[int(x * (len(v) - 1) + 0.5)] for x in qs] and near["none"] == [None] * 6
 
 
+def test_quantiles_compute_a_column_in_one_pass(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(i):
+        met.add(1)
+        return i * 7 % 501 / 2
+
+    df = spark.range(501).select(slow("id").alias("v"))
+    assert linear_quantiles(df, ["v"], [0.5, 0.9])["v"] == pytest.approx(np.quantile(np.arange(501) / 2, [0.5, 0.9]).tolist())
+    assert met.value <= 2 * 501  # once to leave out nulls, once for its value
+
+
 def test_average_ranks(spark):
     v = [3.0, 1.0, 3.0, 2.0, None, 1.0, 1.0, 9.0] * 20
     got = sorted((tuple(r) for r in average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v", "rank").collect() if r["v"] is not None))
