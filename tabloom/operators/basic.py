@@ -284,13 +284,14 @@ class _Ordered(Stage):
         """df with place_, and of each column the value and place last seen up to a row, and first seen from it on."""
         if self.partition_by:
             df = df.withColumn("place_", F.row_number().over(Window.partitionBy(*self.partition_by).orderBy(*self.order_by)).cast("bigint"))
-            parts = Window.partitionBy(*self.partition_by).orderBy("place_")
+            parts = Window.partitionBy(*self.partition_by)
         else:
             df = numbered(df, [q(c) for c in self.order_by])
-            parts = Window.partitionBy("part_").orderBy("place_")
-        back, ahead = parts.rowsBetween(Window.unboundedPreceding, 0), parts.rowsBetween(0, Window.unboundedFollowing)
+            parts = Window.partitionBy("part_")
+        # both run from an end to the row: for a frame from the row to the end, Spark reads all rows behind it again for each row
+        back, ahead = (parts.orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.asc("place_"), F.desc("place_")))
         seen = {c: F.when(q(c).isNotNull(), F.struct(q(c).alias("v"), F.col("place_").alias("at"))) for c in self.columns}
-        out = {c: [F.last(x, ignorenulls=True).over(back), F.first(x, ignorenulls=True).over(ahead)] for c, x in seen.items()}
+        out = {c: [F.last(x, ignorenulls=True).over(w) for w in (back, ahead)] for c, x in seen.items()}
         if not self.partition_by:
             ends = df.groupBy("part_").agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(seen.values()) for k, f in (("a", lambda x: F.min_by(x, x["at"])), ("b", lambda x: F.max_by(x, x["at"])))]).collect()
             ends = sorted(ends, key=lambda r: r["part_"])

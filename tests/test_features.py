@@ -91,6 +91,17 @@ def test_ordered_fills(spark, by):
             operator(name)(["v"]).fit(Dataset(df))
 
 
+@pytest.mark.parametrize("by", [None, ["g"]])
+@pytest.mark.parametrize("name", ["FillNoneBackward", "FillNoneInterpolation"])
+def test_fills_from_behind_read_no_row_again(spark, name, by):
+    df = spark.range(20_000).select("id", F.lit(1).alias("g"), F.when(F.col("id") % 5_000 == 4_999, F.col("id").cast("double")).alias("v"))
+    out = operator(name)(["v"], order_by=["id"], partition_by=by).fit_transform(Dataset(df)).df
+    frames = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in frames and "unboundedfollowing" not in frames  # the latter's work grows with the square of a window's rows
+    want = lambda i: float(i // 5_000 * 5_000 + 4_999) if name == "FillNoneBackward" else float(i) if i >= 4_999 else None
+    assert [(r["id"], r["v"]) for r in out.orderBy("id").collect()] == [(i, pytest.approx(want(i))) for i in range(20_000)]
+
+
 def test_codes_of_many_values(spark, monkeypatch):
     from tabloom.operators import basic
 
