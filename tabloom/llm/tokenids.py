@@ -15,11 +15,11 @@ looked at.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +34,8 @@ FORMAT = "part int, shard int, local_start long, n_tokens long, first_rule int,
 class TokenParams:
     """tokenizer: path of the vocabulary file (None: the installed public_tokenizers' word_bpe_49k.json);
     shard_tokens: tokens of a shard (one document at least); pairs, least: pairs that a Re-Pair round replaces at most,
-    and occurrences that a pair needs; cache_words: words whose ids a worker holds, of which the first third, where
-    the frequent ones come up, outlives the others; text_bytes: texts that are encoded at once, one at least."""
+    and occurrences that a pair needs; cache_words: words whose ids a worker holds between texts, of which the first
+    third, where the frequent ones come up, outlives the others; text_bytes: texts that are encoded at once, one at least."""
 
     tokenizer: str | None = None
     end_id: int = 1
@@ -46,27 +46,42 @@ class TokenParams:
     text_bytes: int = 1 << 23
 
 
+#: ASCII characters that are neither letters, digits nor white space: a run of them behind letters is one piece.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Characters that stand for bytes in the vocabulary, by byte: the byte's own if it can be seen, else the next from 256
+#: on. A space stays one, as it stands between words.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SEEN)))} | {32: " "}
+#: Stems of letters that have one lower case each and no other composition.
+LETTERS = "^[a-zß-öø-ÿÀ-ÖØ-Þ]+$"
+#: Lower-casing these before they are composed, as they are not, composes them with a mark behind.
+UNCOMPOSED = "[HJTWY][\u0308\u030A\u030C\u0331\u0344]|[HJTWY]\\p{M}\\p{M}"
+
+
 class Encoder:
     """Ids of whole texts, word by word. The tokenizer splits at white space before anything else reaches across it,
     so the ids of a text are those of its words in turn; each distinct word is encoded once, and its ids are copied from
     one array for all its places. Lower-casing A-Z first makes fewer distinct words and no other ids, as the tokenizer
-    lower-cases itself."""
+    lower-cases itself; texts where it would make others (a special token's name, letters that compose with a mark in
+    lower case only) are encoded whole. Words and their ids are held in two Arrow arrays, a few bytes each."""
 
     _own: dict = {}
 
     def __init__(self, path: str, params: TokenParams):
+        import pyarrow as pa
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.params = Tokenizer.from_file(path), params
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.pieces = Tokenizer(self.tokenizer.model)  # words in, in characters that stand for bytes
+        self.pieces.pre_tokenizer = WhitespaceSplit()
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.number: dict[bytes, int] = {}
-        self.ends, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)  # ids of word k end at ends[k + 1]
-        self._add([b"."], *self._encode(["."]))
-        self._add([b","], *self._encode([","]))
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([UNCOMPOSED, *(f"(?i:{t})" for t in special)])
+        self.words = pa.array([], pa.binary())
+        self.ids = pa.array([], pa.list_(pa.uint32()))  # by word
 
     @classmethod
     def of(cls, params: TokenParams) -> Encoder:
@@ -80,101 +95,118 @@ class Encoder:
             cls._own[key] = cls(path, params)
         return cls._own[key]
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[str], size: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of each text) of texts that are encoded one by one."""
-        parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        return np.array([i for x in parts for i in x], np.uint32), np.array([len(x) for x in parts], np.int64)
+        ids, counts = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(texts), size):
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + size], add_special_tokens=False)]
+            ids.append(np.array([i for x in parts for i in x], np.uint32))
+            counts += [len(x) for x in parts]
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _letters(self, stems, size: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters that the normaliser leaves as they are, an Arrow array: each is one piece, whose
+        last token alone is one that ends a word, so that one call serves many of them."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def _letters(self, stems: list[str], size: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-        """The same of words of letters that the normaliser leaves as they are: each is one piece, whose last token
-        alone is one that ends a word, so that one call serves many of them."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(stems), size):
-            some = stems[at : at + size]
-            own = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            some = stems.slice(at, size)
+            seen = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            if not seen.isascii():
+                seen = seen.encode().decode("latin-1").translate(BYTES)
+            own = np.array(self.pieces.encode_batch_fast([seen], add_special_tokens=False)[0].ids, np.uint32)
             n = np.diff(np.flatnonzero(self.ends_word[own]) + 1, prepend=0)
             if len(n) != len(some):
-                own, n = self._encode(some)
+                own, n = self._encode(some.to_pylist())
             ids.append(own)
             counts.append(n)
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, used = len(self.number), int(self.ends[len(self.number)])
-        if n + len(words) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words) + 1), np.int64)])
-        if used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        self.ids[used : used + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(words)] = used + np.cumsum(counts)
-        self.number.update(zip(words, range(n, n + len(words))))
-
-    def _of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-
-    def _copy(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word) of words laid end to end."""
-        begin = self.ends[number]
-        counts = self.ends[number + 1] - begin
-        return self.ids[ragged(begin, counts)], counts
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, other, stems = self.number, [], {}
-        stopped: list[tuple[bytes, bytes, bytes]] = []
-        for word in words:
-            if word.isalpha():  # ASCII letters
-                stems[word] = None
-                continue
-            if word[:-1].isalpha() and word[-1] in b".,":  # a lone stop behind letters is a piece of its own
-                key = word[:-1]
-                if key not in known:
-                    stems[key] = None
-                stopped.append((word, key, word[-1:]))
-                continue
-            text = word.decode()
-            stem = text[:-1] if text[-1] in ".," else text
-            if not stem.isascii() and "Σ" not in stem and "İ" not in stem:
+    def _learn(self, words):
+        """Lists of ids of distinct words, an Arrow array: of a stem of letters and of the marks behind it, or of the
+        whole word where it is anything else."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = words.cast(pa.string())
+        stems = pc.utf8_lower(head := pc.ascii_rtrim(text, characters=MARKS))
+        letters = pc.match_substring_regex(head, LETTERS).to_numpy(zero_copy_only=False).copy()
+        lengths = pc.binary_length(text).to_numpy().astype(np.int64)
+        behind = lengths - pc.binary_length(head).to_numpy()
+        own: dict[int, str] = {}
+        for k, stem in zip(np.flatnonzero(~letters).tolist(), head.filter(pa.array(~letters)).to_pylist()):
+            if stem.isalpha() and "Σ" not in stem and "İ" not in stem:
                 stem = stem.lower()  # of single characters, as the tokenizer does it
-            if stem.isalpha() and (stem.isascii() or stem == stem.lower() and unicodedata.is_normalized("NFC", stem)):
-                key = stem.encode()
-                if key not in known:
-                    stems[key] = None
-                if key != word:
-                    stopped.append((word, key, word[-1:] if len(stem) < len(text) else b""))
-            else:
-                other.append(word)
-        self._add(list(stems), *self._letters([k.decode() for k in stems]))
-        if stopped:
-            stem = self._of([key for _, key, _ in stopped])
-            stop = np.where([not mark for _, _, mark in stopped], -1, self._of([mark for _, _, mark in stopped]))
-            begin, ends = np.stack([self.ends[stem], self.ends[stop]], 1), np.stack([self.ends[stem + 1], self.ends[stop + 1]], 1)
-            counts = np.where(np.stack([stem, stop], 1) < 0, 0, ends - begin)
-            self._add([word for word, _, _ in stopped], self.ids[ragged(begin.ravel(), counts.ravel())], counts.sum(1))
-        if other:
-            self._add(other, *self._encode([word.decode() for word in other]))
-
-    def _forget(self) -> None:
-        """Hold the first third of the words only."""
-        self.number = dict(islice(self.number.items(), self.params.cache_words // 3))
+                if stem.isalpha() and stem == stem.lower() and unicodedata.is_normalized("NFC", stem):
+                    own[k] = stem
+        at = np.fromiter(own, np.int64, len(own))
+        whole = ~letters
+        whole[at] = False
+        behind[whole] = 0
+        # tables of stems, of marks (the first: none) and of whole words, one behind the other; a word is in two places
+        simple = pa.concat_arrays([stems.filter(pa.array(letters)), pa.array(own.values(), pa.string())]).dictionary_encode()
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset + 1 : text.offset + 1 + len(text)].astype(np.int64)
+        size = np.concatenate([[0], np.cumsum(behind)]).astype(np.int32)
+        marks = pa.Array.from_buffers(pa.string(), len(text), [None, pa.py_buffer(size), pa.py_buffer(data[ragged(ends - behind, behind)])]).dictionary_encode()
+        n, m = len(simple.dictionary), len(marks.dictionary)
+        made = [self._letters(simple.dictionary), self._encode(marks.dictionary.to_pylist()), self._encode(text.filter(pa.array(whole)).to_pylist())]
+        table = _lists(*(np.concatenate(x) for x in zip(*made)))
+        first = np.empty(len(text), np.int64)
+        first[np.concatenate([np.flatnonzero(letters), at])] = simple.indices.to_numpy()
+        first[whole] = n + m + np.arange(int(whole.sum()))
+        both = np.stack([first, n + marks.indices.to_numpy()], 1).ravel()
+        ids, counts = _flat(table.take(pa.array(both)))
+        return _lists(ids, counts.reshape(-1, 2).sum(1))
+
+    def _words(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word) of words laid end to end, an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) > self.params.cache_words:  # the first third stays
+            kept = pa.array(np.arange(self.params.cache_words // 3))
+            self.words, self.ids = self.words.take(kept), self.ids.take(kept)
+        number = pc.index_in(words, value_set=self.words)
+        if number.null_count:
+            new = words.filter(number.is_null()).dictionary_encode()
+            held = len(self.words)
+            self.ids = pa.concat_arrays([self.ids, self._learn(new.dictionary)])
+            self.words = pa.concat_arrays([self.words, new.dictionary])
+            number = pc.replace_with_mask(number, number.is_null(), pc.add(new.indices, pa.scalar(held, pa.int32())))
+        return _flat(self.ids.take(number))
 
     def encode(self, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids laid end to end, number of ids of each text) of some texts at a time, of an Arrow string column."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         for texts in chunks(column, self.params.text_bytes):
-            if len(self.number) > self.params.cache_words:
-                self._forget()
-            lengths, words = split(texts)
-            coded = words.dictionary_encode()
-            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            number = self._of(distinct)
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                words = [distinct[i] for i in new.tolist()]
-                self._learn(words)
-                number[new] = self._of(words)
-            ids, counts = self._copy(number[coded.indices.to_numpy(zero_copy_only=False)])
-            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-            ends = np.cumsum(lengths)
-            yield ids, upto[ends] - upto[ends - lengths]
+            whole = pc.match_substring_regex(texts, self.whole).fill_null(False)
+            odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            lengths, words = split(pc.if_else(whole, pa.scalar(None, texts.type), texts) if len(odd) else texts)
+            ids, counts = self._words(words)
+            upto, ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]), np.cumsum(lengths)
+            counts = upto[ends] - upto[ends - lengths]
+            if len(odd):
+                own, n = self._encode(texts.take(pa.array(odd)).to_pylist(), 1)
+                ids = np.insert(ids, np.repeat(np.cumsum(counts)[odd], n), own)
+                counts[odd] = n
+            yield ids, counts
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray):
+    """An Arrow array of lists that are laid end to end."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.uint32()))
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(values laid end to end, number of each list) of an Arrow array of lists."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
 def compress(ids: np.ndarray, first_rule: int, params: TokenParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

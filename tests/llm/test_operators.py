@@ -168,6 +168,39 @@ def test_token_ids_ties(spark, tokenizer):
     assert [r[0] for r in out] == np.cumsum([0, *(r[2] for r in out[:-1])]).tolist()
 
 
+def test_token_ids_of_texts_that_lower_case_otherwise(tokenizer):
+    """Special tokens are named in lower case only, and some letters compose with a mark in lower case only."""
+    texts = ["<|ENDOFTEXT|> a", "a<|EndOfText|>b C", "<|endoftext|>.", "J\u030c x", "H\u0331x", "T\u0308", "A W\u030a", "Y\u030a", "H\u0323\u0331", "J\u030b", "plain Text"]
+    for params in (tokenids.TokenParams(), tokenids.TokenParams(text_bytes=1)):
+        parts = [p for ids, counts in tokenids.Encoder.of(params).encode(pa.array([*texts, None, *texts])) for p in np.split(ids, np.cumsum(counts)[:-1])]
+        assert [p.tolist() for p in parts] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in [*texts, None, *texts]]
+
+
+def test_token_ids_hold_words_in_few_bytes():
+    """Of a word that a worker holds: its own bytes and ids, and little else."""
+    import gc
+    import tracemalloc
+
+    import public_tokenizers
+
+    letters = [chr(97 + k) for k in range(26)]
+    words = ["".join(letters[k // 26**i % 26] for i in range(4)) for k in range(50_000)]
+    encoder = tokenids.Encoder(public_tokenizers.path("word_bpe_49k.json"), tokenids.TokenParams())
+    column = pa.array([" ".join(words)])
+    gc.collect()
+    tracemalloc.start()
+    try:
+        before = pa.total_allocated_bytes()
+        for _ in encoder.encode(column):
+            pass
+        del _
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 60 * len(words)
+
+
 def test_repair_and_random_access():
     rng = np.random.default_rng(3)
     params = tokenids.TokenParams(least=2)
