@@ -201,6 +201,20 @@ def test_token_ids_hold_words_in_few_bytes():
     assert held < 60 * len(words)
 
 
+def test_token_ids_of_marks_behind_letters(tokenizer, monkeypatch):
+    """Words of letters and marks are taken apart, so that the tokenizer does not get them one by one."""
+    import public_tokenizers
+
+    single, encode = [], tokenids.Encoder._encode
+    monkeypatch.setattr(tokenids.Encoder, "_encode", lambda self, texts, *rest: single.extend(texts) or encode(self, texts, *rest))
+    stems = [a + b + c for a in ("the", "Él", "straß", "naïv", "onre") for b in ("ing", "ção", "heit", "a") for c in "bcdefgh"]
+    texts = [" ".join(stem + mark for stem in stems) for mark in ("", ".", "###", ",%%%", "'", "...", "\"),", "|>")]
+    encoder = tokenids.Encoder(public_tokenizers.path("word_bpe_49k.json"), tokenids.TokenParams())
+    parts = [p for ids, counts in encoder.encode(pa.array(texts)) for p in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [p.tolist() for p in parts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(single) < len(stems)
+
+
 def test_repair_and_random_access():
     rng = np.random.default_rng(3)
     params = tokenids.TokenParams(least=2)
