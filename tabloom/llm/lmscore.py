@@ -19,9 +19,9 @@ doc_id and text, whatever their names, are not looked at and are not returned.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,6 +58,31 @@ def _bucket(word: bytes, params: LMParams) -> int:
     return params.classes**2 - params.buckets + zlib.crc32(word[:2] + word[-2:]) % params.buckets
 
 
+@cache
+def _crc_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """CRC32 of one byte twice; what the first two and the last two of four bytes give, to be joined by XOR."""
+    pairs = [v.to_bytes(2, "little") for v in range(1 << 16)]
+    zero = zlib.crc32(bytes(4))
+    one = [zlib.crc32(bytes([v, v])) for v in range(256)]
+    return np.array(one), np.array([zlib.crc32(p + bytes(2)) ^ zero for p in pairs]), np.array([zlib.crc32(bytes(2) + p) for p in pairs])
+
+
+def _buckets(words, params: LMParams) -> np.ndarray:
+    """_bucket of each word, none empty, of an Arrow binary array."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    one, head, tail = _crc_tables()
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8).astype(np.int64)
+    begin, end = offsets[:-1], offsets[1:]
+    single = end - begin == 1
+    second, last = np.where(single, begin, begin + 1), end - 1
+    crc = head[data[begin] | data[second] << 8] ^ tail[data[np.where(single, begin, end - 2)] | data[last] << 8]
+    crc[single] = one[data[begin[single]]]
+    return params.classes**2 - params.buckets + crc % params.buckets
+
+
 class LogBilinear:
     """r: context vectors, c: scale of each place; q, b: item vectors and biases; qc, bc: those of classes.
     Item i is of class i % classes, so that frequent items spread over all classes."""
@@ -93,19 +118,15 @@ class LogBilinear:
         return out
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        return sum(self.w["r"][x[j]] * self.w["c"][j] for j in range(len(x)))
-
-    def _move(self, index: np.ndarray, **grads: Callable[[np.ndarray], np.ndarray]) -> None:
-        """Adagrad steps of the named parameters: each gives the gradients at some places of index, which are summed
-        for each row that index names."""
-        order = np.argsort(index.astype(np.min_scalar_type(self.params.classes**2)), kind="stable")  # two bytes: a radix sort
-        index = index[order]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
-        rows = index[first]
-        for name, grad in grads.items():
-            g = np.add.reduceat(grad(order), first, axis=0)
-            self.seen[name][rows] += (g * g).mean(1, keepdims=True)
-            self.w[name][rows] -= self.params.rate * g / np.sqrt(self.seen[name][rows])
+        k = self.params.classes  # rows of the whole table are scaled k at a time, as short rows are slow one by one
+        return sum((self.w["r"].reshape(k, -1) * np.tile(self.w["c"][j], k)).reshape(self.w["r"].shape).take(x[j], axis=0) for j in range(len(x)))
+
+    def _move(self, **grads: np.ndarray) -> None:
+        """Adagrad steps of the named parameters by their gradients, columns by rows of the parameter; rows without a
+        gradient stay as they are."""
+        for name, g in grads.items():
+            self.seen[name] += (g * g).mean(0)[:, None]
+            self.w[name] -= (g * (self.params.rate / np.sqrt(self.seen[name][:, 0]))).T
 
     def train(self, ids: np.ndarray) -> None:
         """One pass over texts laid end to end."""
@@ -114,27 +135,31 @@ class LogBilinear:
             self._step(contexts[:, at : at + self.params.batch], ids[at : at + self.params.batch])
 
     def _step(self, x: np.ndarray, y: np.ndarray) -> None:
-        w, k, (nc, ni), n = self.w, self.params.classes, self.params.noise, len(y)
+        w, k, (nc, ni), n, size = self.w, self.params.classes, self.params.noise, len(y), len(self.p)
         h, cls = self.hidden(x), y % k
         drawn = np.searchsorted(np.cumsum(self.pc), self.rng.random(nc) * self.pc.sum()).clip(0, k - 1)
-        own = _sigmoid(np.einsum("nd,nd->n", h, w["qc"][cls]) + w["bc"][cls, 0] - self.noise_class[cls]) - 1
-        other = _sigmoid(h @ w["qc"][drawn].T + w["bc"][drawn, 0] - self.noise_class[drawn])
-        noise = self.rng.integers(0, len(self.p) // k, (ni, n)) * k + cls
-        noise = np.where(self.rng.random((ni, n), np.float32) < self.keep[noise], noise, self.other[noise])
+        class_bias, bias = w["bc"][:, 0] - self.noise_class, w["b"][:, 0] - self.noise_item
+        qc, qd = w["qc"].take(cls, axis=0), w["qc"][drawn]
+        own = _sigmoid(np.einsum("nd,nd->n", h, qc) + class_bias.take(cls)) - 1
+        other = _sigmoid(h @ qd.T + class_bias[drawn])
+        noise = self.rng.integers(0, size // k, (ni, n)) * k + cls
+        noise = np.where(self.rng.random((ni, n), np.float32) < self.keep.take(noise), noise, self.other.take(noise))
         items = np.concatenate([y[None], noise])
-        qi = w["q"][items]
-        g = _sigmoid(np.einsum("snd,nd->sn", qi, h) + w["b"][items, 0] - self.noise_item[items])
+        qi = w["q"].take(items, axis=0)
+        g = _sigmoid(np.einsum("snd,nd->sn", qi, h) + bias.take(items))
         g[0] -= 1
-        dh = own[:, None] * w["qc"][cls] + other @ w["qc"][drawn] + np.einsum("sn,snd->nd", g, qi)
-        rows = [w["r"][x[j]] for j in range(len(x))]
-        place = np.stack([(dh * r).sum(0) / n for r in rows])
-        scale = w["c"].copy()
-        pull, class_pull = np.concatenate([own[:, None] * h, other.T @ h]), np.concatenate([own, other.sum(0)])[:, None]
-        weight = g.reshape(-1, 1)
-        self._move(items.ravel(), q=lambda o: weight[o] * h[o % n], b=lambda o: weight[o])
-        self._move(np.concatenate([cls, drawn]), qc=lambda o: pull[o], bc=lambda o: class_pull[o])
-        self._move(x.ravel(), r=lambda o: dh[o % n] * scale[o // n])
-        self._move(np.arange(len(x)), c=lambda o: place[o])
+        dh = np.einsum("n,nd->nd", own, qc) + other @ qd + np.einsum("sn,snd->nd", g, qi)
+        columns, items = np.ascontiguousarray(h.T), items.ravel()
+        dq = _sums(items, ((g * v).ravel() for v in columns), size)
+        dqc = _sums(cls, (own * v for v in columns), k)
+        np.add.at(dqc.T, drawn, other.T @ h)
+        dbc = np.bincount(cls, own, k) + np.bincount(drawn, other.sum(0), k)
+        places = (x + np.arange(len(x))[:, None] * size).ravel()
+        by_place = _sums(places, (np.tile(v, len(x)) for v in np.ascontiguousarray(dh.T)), size * len(x)).reshape(-1, len(x), size)
+        dr = np.einsum("djr,jd->dr", by_place, w["c"])
+        dc = np.einsum("djr,dr->dj", by_place, np.ascontiguousarray(w["r"].T)) / n
+        self._move(q=dq, b=np.bincount(items, g.ravel(), size).astype(np.float32)[None])
+        self._move(qc=dqc, bc=dbc.astype(np.float32)[None], r=dr, c=dc)
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """log10 probability of each item given those before it."""
@@ -152,7 +177,7 @@ class LogBilinear:
             ends = np.cumsum(np.bincount(cls, minlength=k))
             for c in np.flatnonzero(np.diff(ends, prepend=0)):
                 rows = order[ends[c - 1] if c else 0 : ends[c]]
-                lp[rows] += _log_softmax(h[rows], w["q"][c::k], w["b"][c::k, 0], y[rows] // k)
+                lp[rows] += _log_softmax(h.take(rows, axis=0), w["q"][c::k], w["b"][c::k, 0], y[rows] // k)
             out[at : at + len(y)] = lp / np.log(10)
         assert per * k == len(self.p)
         return out
@@ -167,8 +192,16 @@ class LogBilinear:
             at += v.size
 
 
+def _sums(index: np.ndarray, columns: Iterable[np.ndarray], size: int) -> np.ndarray:
+    """Sums of each column over the places that index gives a row: columns by rows. No sort and no gather is needed."""
+    return np.array([np.bincount(index, v, size) for v in columns], np.float32)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    z = np.clip(z, -30, 30)
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 def _log_softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -227,38 +260,58 @@ class Lexicon:
         number = self.find(words)
         items = self.items[number] if len(self.items) else np.zeros(len(number), np.int64)
         rare = np.flatnonzero(number < 0)
-        items[rare] = [_bucket(w, self.params) for w in words.take(rare).to_pylist()]
+        items[rare] = _buckets(words.take(rare), self.params)
         return lengths, words, number, np.insert(items, np.cumsum(lengths), 0)
 
 
+def _merged(held: list[tuple]) -> tuple:
+    """(words, their counts) of several such pairs, each word once."""
+    import pyarrow as pa
+
+    words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+    return words.dictionary, np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in held]), len(words.dictionary)).astype(np.int64)
+
+
 def count_words(training: DataFrame, params: LMParams) -> DataFrame:
     """(word, n) over all texts."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        from tabloom.llm._base import byte_texts
-
-        counts: Counter = Counter()
+        held, size = [], 0  # words and counts of chunks, and their number with repeats
         seen = 0  # bytes of texts since the last table
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                counts.update(text.lower().split())  # the same words as those of split()
-                seen += len(text)
-                if len(counts) > params.flush_words or seen > params.flush_bytes:
-                    yield emit()
-                    counts.clear()
-                    seen = 0
-        if counts:
-            yield emit()
+            for part in chunks(batch.column(0)):
+                words = split(part)[1]
+                held.append(_merged([(words, np.ones(len(words)))]))
+                size += len(held[-1][1])
+                seen += pc.sum(pc.binary_length(part)).as_py() or 0
+                if size > 2 * params.flush_words or seen > params.flush_bytes:
+                    held = [_merged(held)]
+                    size = len(held[0][1])
+                    if size > params.flush_words or seen > params.flush_bytes:
+                        yield pa.RecordBatch.from_arrays([held[0][0], pa.array(held[0][1])], ["word", "n"])
+                        held, size, seen = [], 0, 0
+        if held:
+            words, n = _merged(held)
+            yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
 
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _by_text(words, cut: np.ndarray):
+    """List array of each text's different words with their counts; words lie end to end, text k from cut[k] on."""
+    import pyarrow as pa
+
+    found = words.dictionary_encode()
+    size = max(1, len(found.dictionary))
+    text = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    pairs, n = np.unique(text * size + found.indices.to_numpy(), return_counts=True)
+    items = pa.StructArray.from_arrays([found.dictionary.take(pa.array(pairs % size)), pa.array(n.astype(np.int64))], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(len(cut)) * size).astype(np.int32)), items)
+
+
 def _bucket_sums(counts: DataFrame, lexicon, params: LMParams) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each bucket."""
 
@@ -271,7 +324,7 @@ def _bucket_sums(counts: DataFrame, lexicon, params: LMParams) -> tuple[np.ndarr
         for batch in batches:
             number = known.find(batch.column(0))
             beyond = np.flatnonzero((number < 0) | (number >= known.named))
-            k = np.array([_bucket(w, params) for w in batch.column(0).take(beyond).to_pylist()], np.int64) - first
+            k = _buckets(batch.column(0).take(beyond), params) - first
             np.add.at(total, k, batch.column(1).to_numpy()[beyond])
             np.add.at(distinct, k, 1)
         some = np.flatnonzero(distinct)
@@ -389,22 +442,22 @@ def score(docs: DataFrame, training: DataFrame, params: LMParams = LMParams()) -
                 inner = own >= first
                 extra = np.where(inner, flat - shares[np.where(inner, own - first, 0)], 0.0)
                 unknown = np.flatnonzero(number < 0)
-                rare, cut = words.take(unknown).to_pylist(), np.searchsorted(unknown, [0, *ends]).tolist()
-                out = {k: [] for k in ("row", "doc_id", "n_tokens", "n_known", "base", "score", "rare")}
+                cut = np.searchsorted(unknown, [0, *ends])
+                rare, known = _by_text(words.take(unknown), cut), (lengths - np.diff(cut) + int(n_docs > 0)).tolist()
+                out = {k: [] for k in ("row", "doc_id", "n_tokens", "n_known", "base", "score")}
                 begin = 0
                 for k, end in enumerate(ends.tolist()):
                     size = end - begin
                     out["row"].append((part << 36) + row)
                     out["doc_id"].append(ids[at + k])
                     out["n_tokens"].append(size + 1)
-                    out["n_known"].append(size - (cut[k + 1] - cut[k]) + int(n_docs > 0))
+                    out["n_known"].append(known[k])
                     out["base"].append(float(flat[begin:end].sum() + np.log10(n_docs + 1) - (size + 1) * floor))
                     out["score"].append(float(lp[begin + k : end + k + 1].sum() + extra[begin:end].sum()))
-                    out["rare"].append([{"word": w, "n": c} for w, c in Counter(rare[cut[k] : cut[k + 1]]).items()])
                     begin, row = end, row + 1
                 at += len(texts)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+                kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out.values(), kinds)), rare], [*out, "rare"])
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
     scored = shared_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "lm-scores")

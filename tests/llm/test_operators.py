@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -646,6 +647,70 @@ def test_lm_is_normalised():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+class PlainLogBilinear(lmscore.LogBilinear):
+    """A step that sorts the rows' numbers to add up their gradients."""
+
+    def _plain_move(self, index, **grads):
+        order = np.argsort(index.astype(np.uint16), kind="stable")
+        rows, first = np.unique(index[order], return_index=True)
+        for name, grad in grads.items():
+            g = np.add.reduceat(grad(order), first, axis=0)
+            self.seen[name][rows] += (g * g).mean(1, keepdims=True)
+            self.w[name][rows] -= self.params.rate * g / np.sqrt(self.seen[name][rows])
+
+    def _step(self, x, y):
+        w, k, (nc, ni), n = self.w, self.params.classes, self.params.noise, len(y)
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        rows = [w["r"][i] for i in x]
+        h, cls = sum(r * c for r, c in zip(rows, w["c"])), y % k
+        drawn = np.searchsorted(np.cumsum(self.pc), self.rng.random(nc) * self.pc.sum()).clip(0, k - 1)
+        own = sigmoid((h * w["qc"][cls]).sum(1) + w["bc"][cls, 0] - self.noise_class[cls]) - 1
+        other = sigmoid(h @ w["qc"][drawn].T + w["bc"][drawn, 0] - self.noise_class[drawn])
+        noise = self.rng.integers(0, len(self.p) // k, (ni, n)) * k + cls
+        items = np.concatenate([y[None], np.where(self.rng.random((ni, n), np.float32) < self.keep[noise], noise, self.other[noise])])
+        qi = w["q"][items]
+        g = sigmoid((qi * h).sum(2) + w["b"][items, 0] - self.noise_item[items])
+        g[0] -= 1
+        dh = own[:, None] * w["qc"][cls] + other @ w["qc"][drawn] + (g[:, :, None] * qi).sum(0)
+        place, scale, weight = np.stack([(dh * r).sum(0) / n for r in rows]), w["c"].copy(), g.reshape(-1, 1)
+        pull, class_pull = np.concatenate([own[:, None] * h, other.T @ h]), np.concatenate([own, other.sum(0)])[:, None]
+        self._plain_move(items.ravel(), q=lambda o: weight[o] * h[o % n], b=lambda o: weight[o])
+        self._plain_move(np.concatenate([cls, drawn]), qc=lambda o: pull[o], bc=lambda o: class_pull[o])
+        self._plain_move(x.ravel(), r=lambda o: dh[o % n] * scale[o // n])
+        self._plain_move(np.arange(len(x)), c=lambda o: place[o])
+
+
+def test_lm_training_is_plain_training_and_takes_less_time():
+    params = lmscore.LMParams()
+    p = np.arange(1, params.classes**2 + 1) ** -0.5
+    ids = np.random.default_rng(3).choice(len(p), 5 * params.batch + 77, p=p / p.sum())
+    took = {}
+    for _ in range(3):
+        models = {kind: kind(p / p.sum(), params) for kind in (lmscore.LogBilinear, PlainLogBilinear)}
+        for kind, model in models.items():
+            began = time.thread_time()
+            model.train(ids)
+            took[kind] = min(took.get(kind, math.inf), time.thread_time() - began)
+    model, plain = models.values()
+    for name in plain.w:
+        np.testing.assert_allclose(model.w[name], plain.w[name], atol=2e-5, err_msg=name)
+        np.testing.assert_allclose(model.seen[name], plain.seen[name], rtol=1e-3, err_msg=name)
+    assert took[lmscore.LogBilinear] < 0.85 * took[PlainLogBilinear]
+
+
+def test_lm_words_of_arrays(spark):
+    params = lmscore.LMParams(flush_words=3, flush_bytes=40)
+    words = pa.array([b"a", b"\xff", b"ab", b"abc", "\u00e4".encode(), "na\u00efve".encode(), b"a longer one", b"\x00", b"ab"], pa.binary())
+    for some in (words, words.slice(2, 4), words.slice(9)):
+        assert lmscore._buckets(some, params).tolist() == [lmscore._bucket(w, params) for w in some.to_pylist()]
+    lists = lmscore._by_text(words, np.array([0, 0, 3, 9, 9])).to_pylist()
+    assert [sorted((x["word"], x["n"]) for x in t) for t in lists] == [sorted(Counter(words.to_pylist()[a:b]).items()) for a, b in ((0, 0), (0, 3), (3, 9), (9, 9))]
+    texts = ["a B a", None, "", " \t", "b c d e f g h", "a " * 50, "i j k l m n o p q r s t u v w x y z", "\u00c4 \u00e4 A\u00a0a"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = Counter(w for t in texts for w in ascii_lower(t or "").encode().split())
+    assert {bytes(r[0]): r[1] for r in lmscore.count_words(frame, params).collect()} == want
+
+
 def test_lm_edges(edge, empty):
     out = got(lmscore.query(edge))
     assert len(out) == 10 and lmscore.query(empty).count() == 0
