@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm._base import bounded_texts, chunks, fold, shared_table, split, training_sample
+from tabloom.llm._base import bounded_texts, chunks, fold, map_arrow, shared_table, split, training_sample
 
 
 @dataclass(frozen=True)
@@ -297,7 +297,7 @@ def count_words(training: DataFrame, params: LMParams) -> DataFrame:
             words, n = _merged(held)
             yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
 
-    return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(training.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _by_text(words, cut: np.ndarray):
@@ -413,7 +413,7 @@ def _refine(training: DataFrame, lexicon, model: LogBilinear, params: LMParams)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([(s / n).astype(np.float32).tobytes()], pa.binary())], ["piece", "weight", "values"])
 
     schema = "piece int, weight long, values binary"
-    rows = training.select("text").mapInArrow(train, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect()
+    rows = map_arrow(training.select("text"), train, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect()
     if rows:
         model.load(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])]))
     return model
@@ -460,7 +460,7 @@ def score(docs: DataFrame, training: DataFrame, params: LMParams = LMParams()) -
                 yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out.values(), kinds)), rare], [*out, "rare"])
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
-    scored = shared_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "lm-scores")
+    scored = shared_table(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema), "lm-scores")
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
     below = counts if least is None else counts.where((F.col("n") < least) | ~_short(params))
     joined = rare.join(below, "word").groupBy("row").agg(F.sum("times").alias("known_"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_"))

@@ -708,7 +708,9 @@ def test_lm_words_of_arrays(spark):
     texts = ["a B a", None, "", " \t", "b c d e f g h", "a " * 50, "i j k l m n o p q r s t u v w x y z", "\u00c4 \u00e4 A\u00a0a"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     want = Counter(w for t in texts for w in ascii_lower(t or "").encode().split())
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert {bytes(r[0]): r[1] for r in lmscore.count_words(frame, params).collect()} == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
 
 
 def test_lm_edges(edge, empty):
